@@ -250,10 +250,14 @@ def violations(lines: DataFrame, facts: DataFrame, entity: str = "entity_id") ->
     Long rows instead of nested lists: a basket with millions of bad lines stays distributed.
     """
     no_item = F.col("item_id").isNull() | (F.col("item_id").cast("string") == "")
+
+    def hit(cond: Column, reason: str, detail: Column) -> Column:
+        return F.when(cond, F.struct(F.lit(reason).alias("reason"), detail.cast("string").alias("detail")))
+
     per_line = F.array_compact(F.array(
-        F.when(no_item, F.struct(F.lit("missing_oracle_uid").alias("reason"), F.lit(None).cast("string").alias("detail"))),
-        F.when(F.col("quantity") <= 0, F.struct(F.lit("non_positive_quantity"), F.col("quantity").cast("string"))),
-        F.when(~F.col("legality").eqNullSafe("legal"), F.struct(F.lit("illegal_commander_card"), F.col("legality"))),
+        hit(no_item, "missing_oracle_uid", F.lit(None)),
+        hit(F.col("quantity") <= 0, "non_positive_quantity", F.col("quantity")),
+        hit(~F.col("legality").eqNullSafe("legal"), "illegal_commander_card", F.col("legality")),
     ))
     direct = lines.select(entity, "line_id", "item_id", "item_name", F.inline(per_line))
     copies = (

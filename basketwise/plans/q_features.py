@@ -127,8 +127,8 @@ DETAIL_COLS = ["price_total", "price_mean", "price_median", "price_std",
                *[f"{r}_count" for r in features.RARITIES]]
 
 
-def _select(parts: list[str], tag_cols: list[str] = (), detail: bool = False, carry: str = "") -> str:
-    """SQL for some feature groups over all orders, empty ones included."""
+def _parts(parts: list[str], tag_cols: list[str] = (), detail: bool = False, carry: str = "") -> tuple[str, str]:
+    """(common tables, final select) for some feature groups over all orders, empty ones included."""
     sql = WITH_LINES
     plain = [c for p in parts for c in SQL[p]]
     joins, extra = "", []
@@ -140,11 +140,27 @@ def _select(parts: list[str], tag_cols: list[str] = (), detail: bool = False, ca
         sql += f", {DETAILED}"
         joins += " LEFT JOIN dt USING (entity_id)"
         extra += [f"dt.{c} AS {c}" if c.startswith("price") else f"coalesce(dt.{c}, 0) AS {c}" for c in DETAIL_COLS]
+    names = [c.rsplit(" AS ", 1)[1] for c in plain]
     if plain:
-        sql += f", f AS (SELECT e.entity_id, {', '.join(plain)} FROM ent e LEFT JOIN j USING (entity_id) GROUP BY e.entity_id)"
-        names = [c.rsplit(" AS ", 1)[1] for c in plain]
-        return f"{sql} SELECT entity_id, {carry}{', '.join([f'f.{n} AS {n}' for n in names] + extra)} FROM ent JOIN f USING (entity_id){joins}"
-    return f"{sql} SELECT entity_id, {carry}{', '.join(extra)} FROM ent{joins}"
+        sql += (f", f AS (SELECT e.entity_id, {', '.join(plain)} FROM ent e LEFT JOIN j USING (entity_id) "
+                "GROUP BY e.entity_id)")
+        joins = " JOIN f USING (entity_id)" + joins
+    columns = ", ".join([f"f.{n} AS {n}" for n in names] + extra)
+    return sql, f"SELECT entity_id, {carry}{columns} FROM ent{joins}"
+
+
+def _select(*args, **kwargs) -> str:
+    return " ".join(_parts(*args, **kwargs))
+
+
+CARRY = ["group_id", "y1", "y2", "views", "status"]
+
+
+def feats_cte(parts: list[str], tag_cols: list[str] = (), detail: bool = False) -> str:
+    """``WITH … feats AS (…), fbase AS (…)``: features of all orders and of the modelling base."""
+    ctes, select = _parts(parts, tag_cols, detail, carry=", ".join(CARRY) + ", ")
+    return (f"{ctes}, feats AS ({select}), "
+            "fbase AS (SELECT *, y2 - y1 AS delta FROM feats WHERE y1 BETWEEN 2 AND 4 AND y2 BETWEEN 2 AND 4)")
 
 
 def _group(groups: list[str]):
@@ -196,10 +212,23 @@ def wide_features(spark, sf, groups=None):
     """All feature groups with labels and metadata; shared by the analysis queries."""
     return features.basket_features(
         t.entities(spark, sf), t.lines(spark, sf), t.items(spark, sf), t.detail(spark, sf), groups,
-        spec=t.SPEC, carry=["group_id", "y1", "y2", "views", "status"],
+        spec=t.SPEC, carry=CARRY,
     )
 
 
+def rounded_features(spark, sf, groups):
+    df = wide_features(spark, sf, groups)
+    if "price_total" in df.columns:
+        df = df.withColumn("price_total", F.round("price_total", 4))
+    return rounded(df)
+
+
+def base_features(spark, sf, groups):
+    """Features of the modelling base with the label difference."""
+    return rounded_features(spark, sf, groups).filter(
+        F.col("y1").between(2, 4) & F.col("y2").between(2, 4)).withColumn("delta", F.col("y2") - F.col("y1"))
+
+
 @R.query("feature_wide", _select(
     ["structure", "colors", "mana", "curve", "types", "flags", "combos_plain", "popularity", "keywords_plain",
      "subtypes_plain", "faces"],
