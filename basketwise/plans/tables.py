@@ -184,7 +184,7 @@ ITEMS = """words AS (SELECT *, string_split(p_name, ' ') AS w FROM part), items
     CASE WHEN p_size % 16 = 0 THEN 3 WHEN p_size % 8 = 0 THEN 2 ELSE 0 END AS n_faces
   FROM words)"""
 _MODEL_ROWS = ", ".join(f"('{m}', {a})" for m, a in MODELS.items())
-PREDS = BASE + f""", folded AS (
+FOLDED_PREDS = f"""folded AS (
   SELECT *, (row_number() OVER (PARTITION BY repeat_seed, y1
              ORDER BY md5(concat_ws(':', repeat_seed, entity_id)), entity_id) - 1) % {FOLDS} + 1 AS outer_fold
   FROM base, (SELECT CAST(unnest(range(1, {REPEATS + 1})) AS BIGINT) AS repeat_seed)),
@@ -199,3 +199,4 @@ preds AS (
       WHEN CAST('0x' || substr(h, 1, 4) AS BIGINT) % 100 < skill + 20 THEN y2
       ELSE CAST('0x' || substr(h, 5, 4) AS BIGINT) % 3 + 2 END AS BIGINT) AS y_pred, y2
   FROM drawn)"""
+PREDS = f"{BASE}, {FOLDED_PREDS}"
