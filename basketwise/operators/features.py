@@ -89,10 +89,12 @@ def bag_long(lines: DataFrame, entity: str = "entity_id") -> DataFrame:
     )
 
 
-def bag_map(bag: DataFrame, entity: str = "entity_id", max_items: int = 100_000) -> DataFrame:
+def bag_map(bag: DataFrame, entity: str = "entity_id", max_items: int | None = 100_000) -> DataFrame:
     """``(entity, slice, counts)`` with a map per basket. Baskets with more than ``max_items``
-    distinct items come as several slices, so no map outgrows a task."""
-    sliced = with_slices(bag, [entity], F.col("item_id"), max_items)
+    distinct items come as several slices, so no map outgrows a task. ``None`` gives one map per
+    basket, for vectors, which hold one row per basket whatever its size."""
+    sliced = with_slices(bag, [entity], F.col("item_id"), max_items) if max_items else \
+        bag.withColumn("slice", F.lit(0).cast("bigint"))
     return sliced.groupBy(entity, "slice").agg(
         F.map_from_entries(F.collect_list(F.struct("item_id", "quantity"))).alias("counts")
     )

@@ -26,8 +26,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def entities(spark: SparkSession, sf: str) -> DataFrame:
+    return as_entities(table(spark, sf, "orders"))
+
+
+def as_entities(orders: DataFrame) -> DataFrame:
+    """Orders, stored or arriving, as labelled entities."""
     price = F.col("o_totalprice")
-    return table(spark, sf, "orders").select(
+    return orders.select(
         F.col("o_orderkey").alias("entity_id"),
         F.col("o_custkey").alias("group_id"),
         F.substring("o_orderpriority", 1, 1).cast("bigint").alias("y1"),
