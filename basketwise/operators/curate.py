@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from basketwise.functions import sets, text
 from basketwise.functions.skew import HOT_ROWS, join_group_values
+from basketwise.session import materialize
 
 # Board names that never belong to a basket, the lead category, basic item names.
 BOARD_EXCLUDED = ("maybeboard", "sideboard", "tokensextras", "tokensandextras")
@@ -361,6 +362,10 @@ def curate(raw: DataFrame, rules: CurationRules, position: str = "position",
 
     ``history`` holds ``(entity_id, fingerprint)`` of earlier runs: known ids are skipped, known
     baskets rejected as duplicates. ``ingested_at`` stands in for a missing fetch time.
+
+    Latest records, lines, judgements and the deduplicated baskets are each stored once in the shared
+    folder: five outputs hang off them, and without a stored stage every output would parse the raw
+    log again.
     """
     records = raw.withColumn("fetched_at", F.coalesce("fetched_at", F.lit(ingested_at)))
     latest = latest_records(
@@ -368,11 +373,11 @@ def curate(raw: DataFrame, rules: CurationRules, position: str = "position",
     )
     if history is not None:
         latest = latest.join(history.select(F.col("entity_id").alias("deck_id")).distinct(), "deck_id", "left_anti")
-    unwrapped = unwrap(latest)
+    unwrapped = materialize(unwrap(latest), "curate-records")
     usable = unwrapped.filter(F.col("fetch_reason").isNull())
-    all_lines = raw_lines(unwrapped)
+    all_lines = materialize(raw_lines(unwrapped), "curate-lines")
     lines = kept(all_lines)
-    facts = line_facts(lines)
+    facts = materialize(line_facts(lines), "curate-facts")
     p = F.col("payload")
     entities = usable.select(
         F.col("deck_id").alias("entity_id"),
@@ -389,10 +394,9 @@ def curate(raw: DataFrame, rules: CurationRules, position: str = "position",
     trace = trace_maps(extraction_trace(all_lines)).select(
         "entity_id", "excluded_rows", "excluded_quantity", "included_rows", "included_quantity", "lead_rows"
     )
-    judged = (
+    judged = materialize(
         entities.join(facts, "entity_id", "left").join(trace, "entity_id", "left")
-        .withColumn("rejection_reasons", rejection_reasons(rules))
-    )
+        .withColumn("rejection_reasons", rejection_reasons(rules)), "curate-judged")
     passed = judged.filter(F.size("rejection_reasons") == 0)
     # a passed basket holds at most max_size copies, so its line list is bounded
     nested = lines.join(passed.select("entity_id"), "entity_id", "left_semi").groupBy("entity_id").agg(
@@ -407,11 +411,12 @@ def curate(raw: DataFrame, rules: CurationRules, position: str = "position",
     prints = fingerprints(lines.join(passed.select("entity_id"), "entity_id", "left_semi"),
                           inline_lines=max(10_000, rules.max_size))
     ranked = passed.join(prints.select("entity_id", "fingerprint"), "entity_id")
-    deduped = fingerprint_dedup(ranked, "entity_id", F.col("position"), history)
+    deduped = materialize(fingerprint_dedup(ranked, "entity_id", F.col("position"), history), "curate-deduped")
     accepted = (
         deduped.filter(~F.col("is_duplicate")).join(nested, "entity_id")
         .drop("is_duplicate", "keeper_id", "rejection_reasons", "position")
     )
+    winners = deduped.filter(~F.col("is_duplicate")).select("entity_id", "snapshot_id")
     summary = F.struct("name", "private", "unlisted", "basket_format", "target_label", "views")
     base = ["entity_id", "snapshot_id", "fetched_at", "source_url"]
     failed = judged.filter(F.size("rejection_reasons") > 0).select(
@@ -429,7 +434,7 @@ def curate(raw: DataFrame, rules: CurationRules, position: str = "position",
         F.lit(None).cast(failed.schema["raw_summary"].dataType).alias("raw_summary"),
         F.lit(None).cast("bigint").alias("duplicate_of"),
     )
-    accepted_lines = lines.join(accepted.select("entity_id", "snapshot_id"), "entity_id")
+    accepted_lines = lines.join(winners, "entity_id")
     items = first_seen_items(
         accepted_lines, F.struct("fetched_at", "entity_id", "line_number"),
         carry=["item_name", "entity_id", "fetched_at", "item"],

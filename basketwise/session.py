@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -10,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "basketwise", cores: str = "8", shuffle_partitions: int = 8,
-                  memory: str = "12g") -> SparkSession:
+                  memory: str = "12g", checkpoint_dir: str | None = None) -> SparkSession:
     """A single-JVM session for tests and the bench; clusters bring their own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -21,24 +20,25 @@ def local_session(app: str = "basketwise", cores: str = "8", shuffle_partitions:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session may fall back to a temporary folder; on a cluster an
-    unset value is an error, because a machine-local path would lose data with the machine.
+    Only a local-mode session may fall back to a temporary folder; on a cluster an unset value is an
+    error, because a machine-local path would lose data with the machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    fallback = tempfile.mkdtemp(prefix="basketwise-", dir=os.environ.get("TMPDIR"))
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="basketwise-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
