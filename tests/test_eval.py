@@ -10,7 +10,7 @@ FOLD_F1 = {
     "bc_gradient_boosting": [0.631257305569782, 0.6388599745362293, 0.6389581755469972, 0.6441701405161181, 0.6610998565839855, 0.6210903028422672, 0.6563953137428729, 0.6486713316558628, 0.6355318418759429, 0.6337871436902905, 0.6464879927916242, 0.6540738515486596, 0.6587529888539446, 0.6526669093095264, 0.6271483519521251],
     "bc_linear_svc": [0.6280421735996959, 0.6116621257771656, 0.6158632261942816, 0.614912741596029, 0.62754542856046, 0.5924206198165671, 0.6214513993100922, 0.6095423480729111, 0.5961100083092851, 0.6223265708812755, 0.6103738375486844, 0.6120018159865853, 0.6327734213500179, 0.6240329207775871, 0.6009915780565092],
     "bc_logistic_regression": [0.6306870577726228, 0.6146523989629712, 0.6212784887831617, 0.6205192920113167, 0.6271519442537853, 0.6117176706078725, 0.6322698541834112, 0.6231603776537545, 0.6243447494559478, 0.6145464639129213, 0.6220542404813759, 0.6325069901125088, 0.6389424618758516, 0.6357149270372674, 0.6041379099892195],
-    "bc_naive_bayes": [0.5634615256029963, 0.5422842875923363, 0.5480386932290403, 0.5480989056114023, 0.572049081019366, 0.5534286257992839, 0.5605355603629343, 0.5551317520101388, 0.552068359140025, 0.5538388412555375, 0.5341759478276484, 0.5609539167995797, 0.5506928751705288, 0.5564549554282406, 0.5515650436179631],
+    "bc_naive_bayes": [0.5634615256029963, 0.5422842875923363, 0.5480386932290403, 0.5480989056114023, 0.572049081019366, 0.5534286257992839, 0.5605355603629343, 0.5551317520101388, 0.552068359140025, 0.5538388412555375, 0.5341759478276484, 0.5609539167995797, 0.5506928751705288, 0.5564549552814062, 0.5515650436179631],
     "bc_random_forest": [0.6262134084413101, 0.6355144371712829, 0.6224233476904125, 0.634999350301002, 0.6457892041076739, 0.6264846248417969, 0.654753341740741, 0.6259585874084876, 0.6372454569863709, 0.6293433310840203, 0.607464099100377, 0.6512000790316216, 0.6390304522318587, 0.6316567222329622, 0.6206258259045184],
     "df_decision_tree": [0.6770257726172174, 0.6633258261823315, 0.6739352674518129, 0.6682959918184842, 0.678974431301559, 0.6789052613467293, 0.6790964339919333, 0.6533908102356193, 0.6629456522968369, 0.6911843654106359, 0.686099263883524, 0.6746852525896481, 0.6745675847723908, 0.6639516515727539, 0.6634014725973255],
     "df_gradient_boosting": [0.6955070323948679, 0.6828904039187496, 0.6836404609350719, 0.6908831172560337, 0.6927954871171442, 0.6819598543881827, 0.6957954047606639, 0.6878262903471253, 0.6890387296814794, 0.7055847947636321, 0.688774823363504, 0.6916648247129444, 0.7116539485820965, 0.6901701016749424, 0.6736107870642402],
