@@ -207,7 +207,7 @@ def vocabulary(bag: DataFrame, min_df: int, item: str = "item_id", quantity: str
         .filter(F.col("df") >= min_df)
     # sorted as text (byte order); ids of other types sort by their text form
     hexed = counted.withColumn("__hex", F.hex(F.encode(F.col(item).cast("string"), "UTF-8")))
-    ranked = spread_rank(hexed, [], "__hex", out="__rank", prefix_chars=8)
+    ranked = spread_rank(hexed, [], "__hex", out="__rank", prefix_chars=6)
     return ranked.select(item, "df", (F.col("__rank") - 1).alias("idx"))
 
 

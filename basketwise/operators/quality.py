@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketwise.functions.skew import join_group_values
-
 
 def table_report(df: DataFrame, id_col: str, size: Column, expected: tuple[int, int]) -> DataFrame:
     """Totals, distinct ids, duplicates and size statistics. Ids are combined first, so the distinct
@@ -107,8 +105,3 @@ def compare_if_current(live: DataFrame, saved: DataFrame, key: str, live_updated
         .otherwise("different")
     )
     return a.join(b, key).select(key, status.alias("status"))
-
-
-def with_group(df: DataFrame, groups: DataFrame, key: str, size: str, spread: Column) -> DataFrame:
-    """Attach a per-group row (for example a group signature) even when one group is very large."""
-    return join_group_values(df, groups, [key], size, spread, how="left")

@@ -51,20 +51,25 @@ def critical_difference(k: int, n: int) -> float:
     return nemenyi_q(k) * math.sqrt(k * (k + 1) / (6.0 * n))
 
 
-def _pairs(df: DataFrame, columns: list[str], on: list[str]) -> DataFrame:
-    """Unordered model pairs of a table of models (x folds)."""
-    a = df.select(*on, F.col("model_id").alias("model_a"), *[F.col(c).alias(f"{c}_a") for c in columns])
-    b = df.select(*on, F.col("model_id").alias("model_b"), *[F.col(c).alias(f"{c}_b") for c in columns])
-    ordered = F.col("model_a") < F.col("model_b")
-    return a.join(b, on).filter(ordered) if on else a.join(b, ordered)  # models only: a few dozen rows
+def _pairs(df: DataFrame, column: str, within: list[str]) -> DataFrame:
+    """Unordered model pairs with the value of each side, inside every ``within`` group.
+
+    The models of one fold are a short list, so pairs are opened from it instead of joining.
+    """
+    listed = F.sort_array(F.collect_list(F.struct(F.col("model_id").alias("m"), F.col(column).alias("v"))))
+    models = df.groupBy(*within).agg(listed.alias("ms")) if within else df.agg(listed.alias("ms"))
+    pairs = F.flatten(F.transform("ms", lambda a: F.transform(
+        F.filter("ms", lambda b: a["m"] < b["m"]),
+        lambda b: F.struct(a["m"].alias("model_a"), b["m"].alias("model_b"), a["v"].alias("value_a"), b["v"].alias("value_b")))))
+    return models.select(*within, F.inline(pairs))
 
 
 def nemenyi(ranks: DataFrame) -> DataFrame:
     """Every model pair with its rank difference, the critical difference and a flag."""
     k, n = _shape(ranks)
     cd = critical_difference(k, n)
-    pairs = _pairs(average_ranks(ranks), ["average_rank"], [])
-    gap = F.abs(F.col("average_rank_a") - F.col("average_rank_b"))
+    pairs = _pairs(average_ranks(ranks), "average_rank", [])
+    gap = F.abs(F.col("value_a") - F.col("value_b"))
     return pairs.select("model_a", "model_b", gap.alias("rank_diff"), F.lit(cd).alias("critical_difference"),
                         (gap > cd).alias("significant"))
 
@@ -76,7 +81,7 @@ def wilcoxon(folds: DataFrame, score: str = "macro_f1") -> DataFrame:
     exact too.
     """
     cases = complete_cases(folds, score)
-    diffs = _pairs(cases, ["score"], ["fold_id"]).withColumn("d", F.col("score_a") - F.col("score_b"))
+    diffs = _pairs(cases, "score", ["fold_id"]).withColumn("d", F.col("value_a") - F.col("value_b"))
     nonzero = diffs.filter(F.col("d") != 0)
     pair = ["model_a", "model_b"]
     size = F.abs(F.col("d"))

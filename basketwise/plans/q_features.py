@@ -9,6 +9,7 @@ from basketwise.operators import features
 from basketwise.operators.features import MANA, FLAGS
 from basketwise.plans import tables as t
 from basketwise.plans.registry import Registry, rounded
+from basketwise.session import materialize
 
 R = Registry()
 
@@ -229,6 +230,11 @@ def base_features(spark, sf, groups):
         F.col("y1").between(2, 4) & F.col("y2").between(2, 4)).withColumn("delta", F.col("y2") - F.col("y1"))
 
 
+def stored_base(spark, sf, groups, columns):
+    """The needed columns of the base, written once for analyses that read them several times."""
+    return materialize(base_features(spark, sf, groups).select("entity_id", "y1", "y2", "delta", *columns), "base")
+
+
 @R.query("feature_wide", _select(
     ["structure", "colors", "mana", "curve", "types", "flags", "combos_plain", "popularity", "keywords_plain",
      "subtypes_plain", "faces"],

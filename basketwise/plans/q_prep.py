@@ -87,7 +87,7 @@ def prep_vocabulary(spark, sf):
 @R.query("prep_vectorize", f"""WITH {VOCAB}
 SELECT doc_id, idx, CAST(q AS DOUBLE) AS "value" FROM bag JOIN vocab USING (item)""")
 def prep_vectorize(spark, sf):
-    bag = token_bag(spark, sf)
+    bag = materialize(token_bag(spark, sf), "tokens")
     return prep.vectorize_long(bag, prep.vocabulary(bag, 5)).select(F.col("entity_id").alias("doc_id"), "idx", "value")
 
 
@@ -95,9 +95,9 @@ def prep_vectorize(spark, sf):
   SELECT doc_id, idx, q * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM bag JOIN vocab USING (item))
 SELECT doc_id, idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS "value" FROM w""")
 def prep_tfidf(spark, sf):
-    bag = token_bag(spark, sf)
+    bag = materialize(token_bag(spark, sf), "tokens")
     n = t.table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n_docs"))
-    vectors = prep.vectorize_long(bag, prep.vocabulary(bag, 5)).join(F.broadcast(n))  # one row
+    vectors = materialize(prep.vectorize_long(bag, prep.vocabulary(bag, 5)), "vectors").join(F.broadcast(n))  # one row
     weighted = prep.tfidf_long(vectors, F.col("n_docs"))
     return rounded(weighted.select(F.col("entity_id").alias("doc_id"), "idx", "value"))
 

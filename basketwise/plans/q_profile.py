@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from basketwise.functions import sets, text
 from basketwise.operators import divergence, prep, profile, quality
 from basketwise.plans import tables as t
-from basketwise.plans.q_features import base_features, feats_cte, rounded_features
+from basketwise.plans.q_features import base_features, feats_cte, rounded_features, stored_base
 from basketwise.plans.registry import Registry, rounded
 
 R = Registry()
@@ -205,7 +205,7 @@ SUMMARY = ["land_count", "nonland_count", "cmc_mean", "cmc_std", "price_total"]
 SELECT col AS "column", count(v) AS n, count(*) FILTER (WHERE v IS NULL) AS n_null, round(avg(v), 4) AS "mean",
   round(stddev_samp(v), 4) AS std, round(median(v), 4) AS "median" FROM u GROUP BY col""")
 def eda_summary(spark, sf):
-    return rounded(profile.column_summary(base_features(spark, sf, ["mana", "curve", "price"]), SUMMARY), 4)
+    return rounded(profile.column_summary(stored_base(spark, sf, ["mana", "curve", "price"], SUMMARY), SUMMARY), 4)
 
 
 BUCKETS = [*[f"cmc_{b}_count" for b in range(6)], "cmc_6_plus_count"]
@@ -217,7 +217,7 @@ SELECT y1, col AS "column", round(avg(v), 6) AS "mean" FROM u GROUP BY ALL
 UNION ALL SELECT CAST(0 AS BIGINT), col, round(avg(v), 6) FROM u GROUP BY ALL""")
 def eda_curve_by_label(spark, sf):
     """Mean curve per label; label 0 stands for all rows."""
-    base = base_features(spark, sf, ["curve"])
+    base = stored_base(spark, sf, ["curve"], BUCKETS)
     overall = profile.means(base, BUCKETS).select(F.lit(0).cast("bigint").alias("y1"), "column", "mean")
     return rounded(profile.means(base, BUCKETS, ["y1"]).unionByName(overall))
 
@@ -241,7 +241,7 @@ FLAG_COLS = ["game_changer_count", "extra_turns_count", "tutor_count", "mass_lan
 SELECT col AS "column", round(avg(v), 6) AS "mean", round(100.0 * count(*) FILTER (WHERE v >= 1) / count(*), 6) AS pct_any,
   round(median(v), 6) AS "median" FROM u GROUP BY ALL""")
 def eda_flags(spark, sf):
-    return rounded(profile.flag_summary(base_features(spark, sf, ["flags"]), FLAG_COLS))
+    return rounded(profile.flag_summary(stored_base(spark, sf, ["flags"], FLAG_COLS), FLAG_COLS))
 
 
 STAT_COLS = ["edhrec_rank_mean", "salt_median", "price_total", "price_std", "unique_card_count"]
@@ -278,7 +278,7 @@ SELECT y1, col AS "column", round(q1, 4) AS q1, round(med, 4) AS "median", round
   round(max(v) FILTER (WHERE v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1)), 4) AS whisker_high,
   count(v) AS n FROM u JOIN q USING (y1, col) GROUP BY y1, col, q1, med, q3""")
 def eda_boxplot(spark, sf):
-    return rounded(profile.boxplot(base_features(spark, sf, ["mana", "types", "price"]), BOX, "y1"), 4)
+    return rounded(profile.boxplot(stored_base(spark, sf, ["mana", "types", "price"], BOX), BOX, "y1"), 4)
 
 
 @R.query("eda_groups", f"""WITH {t.ENT}, s AS (SELECT group_id, count(*) AS n FROM ent GROUP BY ALL)
@@ -322,7 +322,8 @@ CORR = ["land_count", "nonland_count", "creature_count", "instant_count", "game_
   SELECT {", ".join(f"corr({a}, {b}) AS {a}__{b}" for i, a in enumerate(CORR) for b in CORR[i + 1:])} FROM fbase)
 {" UNION ALL ".join(f"SELECT least('{a}', '{b}') AS column_a, greatest('{a}', '{b}') AS column_b, round({a}__{b}, 6) AS r FROM c" for i, a in enumerate(CORR) for b in CORR[i + 1:])}""")
 def eda_correlation(spark, sf):
-    pairs = profile.correlation(base_features(spark, sf, ["mana", "types", "flags", "curve", "price"]), CORR)
+    pairs = profile.correlation(
+        stored_base(spark, sf, ["mana", "types", "flags", "curve", "price"], CORR), CORR)
     return rounded(pairs.select(F.least("column_a", "column_b").alias("column_a"),
                                 F.greatest("column_a", "column_b").alias("column_b"), "r"))
 
@@ -385,7 +386,7 @@ e AS (SELECT list_sort(list_distinct(quantile_cont(price_total, [0, 0.2, 0.4, 0.
 b AS (SELECT delta, greatest(len(list_filter(edges, lambda x: x < price_total)), 1) AS bin, edges FROM fbase, e WHERE price_total IS NOT NULL)
 SELECT bin, round(edges[bin], 4) AS low, round(edges[bin + 1], 4) AS high, {_BY} FROM b GROUP BY bin, edges""")
 def div_by_quintile(spark, sf):
-    binned = divergence.by_quantile(base_features(spark, sf, ["structure", "price"]), "price_total")
+    binned = divergence.by_quantile(stored_base(spark, sf, ["price"], ["price_total"]), "price_total")
     return rounded(rounded(binned, 4, ["low", "high"]), 6)
 
 

@@ -16,6 +16,8 @@ def local_session(app: str = "basketwise", cores: str = "8", shuffle_partitions:
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # the wide feature aggregate has more than the default 100 columns
+        .config("spark.sql.codegen.maxFields", "300")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
