@@ -61,6 +61,15 @@ def stability(compared: DataFrame) -> DataFrame:
     )
 
 
+def without_excluded(df: DataFrame, excluded: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that match the exclusion list on none of several keys (NULL keys match nothing)."""
+    out = df
+    for key in keys:
+        listed = excluded.select(key).filter(F.col(key).isNotNull()).distinct()
+        out = out.join(listed, key, "left_anti")
+    return out
+
+
 def coverage_sample(df: DataFrame, id_col: str, label: str, n: int, exclude: DataFrame | None = None) -> DataFrame:
     """``n`` rows in id order, but the lowest id of every label comes first.
 

@@ -25,7 +25,7 @@ DENY_COLUMNS = (
     "y1", "y2", "delta", "abs_delta", "target_label", "reference_label", "entity_id", "snapshot_id", "deck_id",
     "group_id", "fetched_at", "updated_at", "commander_oracle_uids", "deck_name", "name", "source_url",
 )
-DENY_PREFIXES = ("edhpowerlevel.", "epl_", "reference_")
+DENY_PREFIXES = ("epl_", "reference_")
 IMPUTE_PREFIXES = ("edhrec_rank_", "salt_")
 CAP_COLUMN = "price_total"
 CAP_PROBABILITY = 0.99

@@ -319,6 +319,15 @@ def sample_coverage(spark, sf):
     return labels.coverage_sample(ent, "entity_id", "y1", 60, exclude=ent.filter(F.col("status") == "P")).drop("status")
 
 
+@R.query("sample_excluded", f"""WITH {t.ENT}, x AS (SELECT entity_id, group_id FROM ent WHERE total_price > 495000)
+SELECT entity_id, group_id, y1 FROM ent WHERE entity_id NOT IN (SELECT entity_id FROM x) AND group_id NOT IN (SELECT group_id FROM x)""")
+def sample_excluded(spark, sf):
+    """Orders outside an exclusion list, matched by order or by customer."""
+    ent = t.entities(spark, sf)
+    listed = ent.filter(F.col("total_price") > 495000)
+    return labels.without_excluded(ent, listed, ["entity_id", "group_id"]).select("entity_id", "group_id", "y1")
+
+
 @R.query("sample_per_label", f"""WITH {t.ENT}
 SELECT entity_id, y1, rank FROM (SELECT entity_id, y1,
   row_number() OVER (PARTITION BY y1 ORDER BY md5(concat_ws(':', '7', entity_id)), entity_id) AS rank FROM ent) WHERE rank <= 30""")
