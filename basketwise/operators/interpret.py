@@ -11,6 +11,7 @@ from basketwise.functions.ranking import top_per_group
 from basketwise.functions.skew import join_to_rows
 from basketwise.operators.metrics import LABELS
 
+# Smoothing added to both frequencies, entities an item needs to be reported.
 SMOOTHING = 5e-4
 MIN_ENTITIES = 10
 

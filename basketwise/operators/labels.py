@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketwise.functions.ranking import md5_order, top_per_group
+from basketwise.functions.skew import join_to_rows
 
 # Fields compared when the same entity is scored again.
 COMPARED_FIELDS = (
@@ -22,10 +23,16 @@ def latest_labels(log: DataFrame, key: str, order: Column) -> DataFrame:
     return log.groupBy(key).agg(F.max_by(row, order).alias("__row")).select("__row.*")
 
 
-def upsert(entities: DataFrame, latest: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """New label values win when present; entities without a new label stay as they are."""
+def upsert(entities: DataFrame, latest: DataFrame, key: str, columns: Sequence[str],
+           spread: Column | None = None) -> DataFrame:
+    """New label values win when present; entities without a new label stay as they are.
+
+    Where the key repeats in ``entities`` (a label per customer, say), pass a ``spread`` column that
+    tells the rows apart: a key with very many rows is then joined in slices.
+    """
     fresh = latest.select(key, *[F.col(c).alias(f"__new_{c}") for c in columns])
-    joined = entities.join(fresh, key, "left")
+    joined = entities.join(fresh, key, "left") if spread is None else \
+        join_to_rows(entities, fresh, [key], spread, how="left")
     for c in columns:
         old = F.col(c) if c in entities.columns else F.lit(None).cast(latest.schema[c].dataType)
         joined = joined.withColumn(c, F.coalesce(F.col(f"__new_{c}"), old))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from basketwise.functions.coerce import finite
 from basketwise.functions.ranking import top_per_group
 
+# The ordinal classes of the modelling base.
 LABELS = (2, 3, 4)
 SCORES = ("accuracy", "precision_macro", "recall_macro", "macro_f1")
 

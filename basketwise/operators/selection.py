@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from basketwise.functions.coerce import as_long
 from basketwise.functions.ranking import top_per_group
 
+# Label distance and flag count that make a row worth showing.
 LARGE_DELTA = 2
 MANY_FLAGS = 5
 

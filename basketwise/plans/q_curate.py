@@ -277,7 +277,8 @@ def label_upsert_latest(spark, sf):
         F.when(~failed, F.get_json_object("props", "$.k").cast("bigint") % 5 + 1).alias("y2"),
         F.when(failed, "failed").alias("error"))
     latest = labels.latest_labels(log, "group_id", F.struct("ts", "event_id")).withColumn("fresh", F.col("y2"))
-    updated = labels.upsert(t.entities(spark, sf), latest, "group_id", ["y2", "fresh", "error"])
+    updated = labels.upsert(t.entities(spark, sf), latest, "group_id", ["y2", "fresh", "error"],
+                            spread=F.col("entity_id"))
     return updated.select("entity_id", "y1", "y2", labels.label_state(F.col("fresh"), F.col("error")).alias("state"))
 
 

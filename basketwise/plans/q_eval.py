@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from basketwise.functions.ranking import md5_order, spread_rank
+from basketwise.functions.skew import join_to_rows
 from basketwise.operators import agreement, ensemble, features, folds, interpret, metrics, ranktests, selection
 from basketwise.plans import tables as t
 from basketwise.plans.q_features import base_features, feats_cte
@@ -430,7 +431,8 @@ def group_gap(spark, sf):
     """Stratified against group-wise fold means of the same predictions."""
     preds = t.predictions(spark, sf)
     group = folds.group_folds(t.modelling_base(spark, sf), "group_id", 5).select("group_id", F.col("fold").cast("string").alias("fold_id"))
-    regrouped = preds.filter(F.col("repeat_seed") == 1).drop("fold_id").join(group, "group_id")
+    regrouped = preds.filter(F.col("repeat_seed") == 1).drop("fold_id")
+    regrouped = join_to_rows(regrouped, group, ["group_id"], F.col("entity_id"))
     return rounded(metrics.generalisation_gap(
         metrics.mean_std(metrics.fold_scores(preds), ["model_id"]),
         metrics.mean_std(metrics.fold_scores(regrouped), ["model_id"])))

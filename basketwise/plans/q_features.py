@@ -239,10 +239,12 @@ def stored_base(spark, sf, groups, columns):
     ["structure", "colors", "mana", "curve", "types", "flags", "combos_plain", "popularity", "keywords_plain",
      "subtypes_plain", "faces"],
     TAG_COLS["keywords"] + TAG_COLS["subtypes"] + TAG_COLS["combos"], detail=True,
-    carry="group_id, y1, y2, views, status, "))
+    carry="group_id, y1, y2, views, status, CAST(f.commander_card_count + f.non_commander_card_count AS BIGINT) AS mainboard_count, "))
 def feature_wide(spark, sf):
-    """The flagship: 105 features of every basket, one row each."""
-    return rounded(wide_features(spark, sf).withColumn("price_total", F.round("price_total", 4)))
+    """The flagship: 105 features of every basket (103 measures, views and basket size), one row each."""
+    size = F.col("commander_card_count") + F.col("non_commander_card_count")
+    wide = wide_features(spark, sf).withColumns({"price_total": F.round("price_total", 4), "mainboard_count": size})
+    return rounded(wide)
 
 
 @R.query("bag_long", f"""WITH {t.LINES}
