@@ -2,14 +2,66 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from basketwise.llm import minhash
-from basketwise.llm.tables import documents
+from basketwise.llm import (
+    bpe, curve_packing, fingerprint, langid, licenses, minhash, rpforest, secret_scan, sharding, substring,
+)
+from basketwise.llm.tables import documents, table
 from basketwise.plans.registry import Registry
 
 R = Registry()
 
+
+LEAVES = r"""list_transform(
+    list_filter(string_split(regexp_replace({0}, '(\n|[.!?;:,|] )', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''),
+    lambda x: CASE WHEN x = chr(10) THEN '1:' || repeat('0', 32) ELSE length(x) || ':' || sha256(x)[1:32] END)"""
+ROOT = r"""sha256(array_to_string(list_transform(string_split(
+    regexp_replace(array_to_string({0}, ' '), '([0-3]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: sha256(x)), ' '))"""
+WEIGHT = "coalesce(list_sum(list_transform({0}, lambda x: split_part(x, ':', 1)::bigint)), 0)::bigint"
+LIKENESS = (f"CASE WHEN {{0}} = {{1}} THEN 1.0::double ELSE coalesce(2.0::double * "
+            f"{WEIGHT.format('list_distinct(list_intersect({0}, {1}))')} / "
+            f"nullif({WEIGHT.format('list_distinct({0})')} + {WEIGHT.format('list_distinct({1})')}, 0), 0) END")
+
+OP1_SQL = rf"""
+WITH own AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+pair AS (
+  SELECT doc_id, text, n, n // 2 AS half,
+    coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS after FROM own),
+edit AS (SELECT *, text[1:n - half] || after[1:half] AS edited FROM pair),
+tree AS (
+  SELECT doc_id, n, edited, {LEAVES.format("text")} AS a, {LEAVES.format("edited")} AS b, {LEAVES.format("after")} AS c
+  FROM edit)
+SELECT doc_id, n::bigint AS n_chars, sha256(edited) AS edited_sha256, {ROOT.format("a")} AS fingerprint,
+  {ROOT.format("b")} AS edited_fingerprint, {LIKENESS.format("a", "b")} AS near_edited,
+  {LIKENESS.format("a", "c")} AS near_next,
+  CASE WHEN a <> b THEN {WEIGHT.format(
+      "a[1:coalesce(list_position(list_transform(range(1, greatest(len(a), len(b)) + 1), lambda i: coalesce(a[i] = b[i], false)), false), 1) - 1]")} END
+    AS edited_from
+FROM tree
+"""
+
+
+@R.query("op1_merkle", OP1_SQL)
+def op1_merkle(spark, sf):
+    return fingerprint.compare_with_edit(documents(spark, sf))
+
+
+@R.query("op2_langid")
+def op2_langid(spark, sf):
+    docs = documents(spark, sf)
+    out = langid.predict(docs, langid.train(docs))
+    return out.select("doc_id", (~langid.learnable(out)).alias("held_out"), "lang_pred", "score")
+
+
+@R.query("op3_rpforest")
+def op3_rpforest(spark, sf):
+    return rpforest.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 WORD_LIST = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 OP4_SQL = rf"""
@@ -45,5 +97,120 @@ def op4_minhash(spark, sf):
         "doc_id", F.col("n_shingles").cast("bigint").alias("n_shingles"), "component_id", "kept")
 
 
+OP5_SQL = rf"""
+WITH word AS (
+  SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS p
+  FROM (SELECT doc_id, {WORD_LIST.format("coalesce(text, '')")} AS w FROM documents)),
+win AS (
+  SELECT doc_id, p, x, string_agg(x, ' ') OVER ahead AS g, count(*) OVER ahead AS size FROM word
+  WINDOW ahead AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+marked AS (
+  SELECT doc_id, p, x, size = 20 AND row_number() OVER (PARTITION BY g, size ORDER BY doc_id, p) > 1 AS again FROM win),
+covered AS (
+  SELECT doc_id, p, x, max(again::int) OVER (
+    PARTITION BY doc_id ORDER BY p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM marked),
+done AS (
+  SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed, string_agg(x, ' ' ORDER BY p) FILTER (gone = 0) AS kept
+  FROM covered GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::bigint AS n_words, coalesce(n_removed, 0)::bigint AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN done ON done.doc_id = d.doc_id
+"""
+
+
+@R.query("op5_substring", OP5_SQL)
+def op5_substring(spark, sf):
+    out = substring.remove_repeats(documents(spark, sf).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@R.query("op6_byte_bpe")
+def op6_byte_bpe(spark, sf):
+    out = bpe.encode_documents(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                               public_tokenizers.PATTERN, ids_as_text=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@R.query("op8_curve_packing")
+def op8_curve_packing(spark, sf):
+    out = curve_packing.pack(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                      "offset")
+
+
+@R.query("op7_secret_scan")
+def op7_secret_scan(spark, sf):
+    out = secret_scan.scan(documents(spark, sf))
+    return out.select("doc_id", "word_no", F.col("part").cast("long").alias("part"),
+                      F.col("length").cast("long").alias("length"), F.sha2("secret", 256).alias("secret_sha256"),
+                      "probability", "is_secret")
+
+
+SHARDS = [f"shard-{i:02d}" for i in range(32)]
+SLOTS = 2053
+
+OP9_SQL = rf"""
+WITH RECURSIVE shard AS (
+  SELECT i, printf('shard-%02d', i) AS name FROM range(32) t(i)),
+pick AS (
+  SELECT name, i, ('0x' || md5(name || ':offset')[1:15])::bigint % {SLOTS} AS spot,
+    ('0x' || md5(name || ':skip')[1:15])::bigint % ({SLOTS} - 1) + 1 AS skip FROM shard),
+plan AS (SELECT list(spot ORDER BY i) AS spots, list(skip ORDER BY i) AS skips FROM pick),
+-- one row per claim: the first slot in the preference order of the shard whose turn it is that is still free
+claim AS (
+  SELECT 0 AS turn, NULL::bigint AS slot, []::bigint[] AS taken
+  UNION ALL
+  SELECT turn + 1, free.slot, list_append(taken, free.slot)
+  FROM claim, plan, LATERAL (
+    SELECT list_filter(list_transform(range(0, {SLOTS}), lambda k: (spots[turn % 32 + 1] + k * skips[turn % 32 + 1]) % {SLOTS}),
+                       lambda s: NOT list_contains(taken, s))[1] AS slot) free
+  WHERE turn < {SLOTS}),
+slots AS (SELECT slot, printf('shard-%02d', (turn - 1) % 32) AS shard FROM claim WHERE turn > 0),
+doc AS (SELECT doc_id, ('0x' || md5(coalesce(doc_id::varchar, ''))[1:15])::bigint % {SLOTS} AS slot FROM documents)
+SELECT doc_id, slot, shard FROM doc JOIN slots USING (slot)
+"""
+
+
+@R.query("op9_sharding", OP9_SQL)
+def op9_sharding(spark, sf):
+    docs = documents(spark, sf).select("doc_id")
+    return sharding.place(docs, F.col("doc_id"), SHARDS, SLOTS).select("doc_id", "slot", "shard")
+
+
+_TEMPLATES = " UNION ALL ".join(
+    f"SELECT '{name}' AS license, '{text.replace(chr(39), chr(39) * 2)}' AS wording"
+    for name, text in sorted(licenses.TEMPLATES.items()))
+_NORMAL = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+_PAIRS = ("list_distinct(list_transform(range(1, len(string_split({0}, ' '))), "
+          "lambda i: string_split({0}, ' ')[i] || ' ' || string_split({0}, ' ')[i + 1]))")
+
+OP10_SQL = rf"""
+WITH template AS (
+  SELECT license, {_PAIRS.format("wording")} AS t
+  FROM (SELECT license, {_NORMAL.format("wording")} AS wording FROM ({_TEMPLATES}))),
+part AS (
+  SELECT doc_id, unnest(list_concat([text], string_split_regex(text, '\n\s*\n'), string_split(text, chr(10)),
+    string_split_regex(text, '[.!?]\s+'))) AS p FROM documents WHERE text IS NOT NULL),
+passage AS (SELECT DISTINCT doc_id, {_NORMAL.format("p")} AS passage FROM part),
+pairs AS (SELECT doc_id, passage, {_PAIRS.format("passage")} AS p FROM passage),
+dice AS (
+  SELECT doc_id, passage, license, len(p) AS bigrams, 2.0::double * len(list_intersect(p, t)) / (len(p) + len(t)) AS dice
+  FROM pairs, template WHERE len(p) > 0)
+SELECT doc_id, license, dice, bigrams::bigint AS bigrams, passage FROM dice WHERE dice >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, passage ORDER BY dice DESC, license) = 1
+"""
+
+
+@R.query("op10_licenses", OP10_SQL)
+def op10_licenses(spark, sf):
+    return licenses.scan(documents(spark, sf))
+
+
+@R.query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf):
+    return corpus_pipeline.run(spark, sf)
+
+
 QUERIES = dict(R.queries)
 ORACLES = dict(R.oracles)

@@ -1,0 +1,278 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from basketwise.llm import fingerprint, langid, licenses, queries, rpforest, secret_scan, sharding
+
+SF = "/root/testdata/sf0.001"
+
+
+# ---- fingerprints
+
+def brute_leaves(text):
+    parts = [p for p in re.split(r"(?<=\n)|(?<=[.!?;:,|] )", text) if p]
+    return ["1:" + "0" * 32 if p == "\n" else f"{len(p)}:{hashlib.sha256(p.encode()).hexdigest()[:32]}" for p in parts]
+
+
+def brute_root(leaf):
+    parts = re.split("(?<=[0-3]) ", " ".join(leaf))
+    return hashlib.sha256(" ".join(hashlib.sha256(p.encode()).hexdigest() for p in parts).encode()).hexdigest()
+
+
+def test_fingerprints_against_plain_python(make_docs):
+    rng = random.Random(4)
+    texts = [None, "", "\n\n", "ünï. cödé\n\n🙂", "no line end at all"] + [
+        "".join(rng.choice(["word ", "other, ", "end. ", "\n", "\n\n", "é", "🙂; "]) for _ in range(rng.randrange(80)))
+        for _ in range(60)]
+    got = fingerprint.compare_with_edit(make_docs(texts).repartition(3), rows_per_slice=7).orderBy("doc_id").collect()
+    assert len(got) == len(texts)
+    for i, row in enumerate(got):
+        text, after = texts[i] or "", texts[(i + 1) % len(texts)] or ""
+        half = len(text) // 2
+        edited = text[:len(text) - half] + after[:half]
+        a, b, c = map(brute_leaves, (text, edited, after))
+
+        def near(x, y):
+            if x == y:
+                return 1.0
+            size = lambda s: sum(int(z.split(":")[0]) for z in s)
+            return 2.0 * size(set(x) & set(y)) / max(1, size(set(x)) + size(set(y)))
+
+        assert row["n_chars"] == len(text) and row["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert row["fingerprint"] == brute_root(a) and row["edited_fingerprint"] == brute_root(b)
+        assert row["near_edited"] == pytest.approx(near(a, b)) and row["near_next"] == pytest.approx(near(a, c))
+        same = 0
+        while same < min(len(text), len(edited)) and text[same] == edited[same]:
+            same += 1
+        assert (row["edited_from"] is None) == (text == edited)
+        assert row["edited_from"] is None or row["edited_from"] <= same
+
+
+def test_fingerprint_odd_rows(odd_docs, no_docs):
+    rows = fingerprint.compare_with_edit(odd_docs, rows_per_slice=3).collect()
+    assert len(rows) == odd_docs.count()
+    assert all(r["near_next"] is None for r in rows if r["doc_id"] is None)
+    by = {}
+    for r in rows:
+        by.setdefault(r["doc_id"], r)
+    assert by[5]["fingerprint"] == by[6]["fingerprint"] and by[5]["near_next"] == 1.0 and by[1]["near_next"] == 1.0
+    assert fingerprint.compare_with_edit(no_docs).count() == 0
+    assert fingerprint.fingerprints(no_docs).count() == 0
+
+
+# ---- language
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = langid.predict(docs, langid.train(docs)).withColumn("held", ~langid.learnable(docs.limit(0)))
+    both = out.join(docs.select("doc_id", "lang"), "doc_id").filter("held and lang is not null")
+    n, right, score = both.agg(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.avg("score")).first()
+    assert n > 150 and right / n >= 0.98 and abs(score - right / n) < 0.1
+
+
+def test_language_odd_rows(odd_docs, no_docs, make_docs):
+    model = langid.train(odd_docs)
+    rows = [(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.predict(odd_docs, model).collect()]
+    assert len(rows) == odd_docs.count() and all(0 <= r[2] <= 1 for r in rows)
+    assert [r[1] for r in rows if r[0] in (1, 2, 3, 7)] == ["und"] * 4
+    nothing = langid.train(no_docs)
+    assert langid.predict(odd_docs, nothing).filter("lang_pred <> 'und' or score <> 0").count() == 0
+    assert langid.predict(no_docs, model).count() == 0
+    kept = langid.accept(odd_docs, model, 0.0)
+    assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 5
+
+
+def test_n_grams_of_a_text_do_not_depend_on_pieces():
+    text = "añ b " * 300_000
+    where, counts = langid.gram_counts(text, 1 << 10)
+    code = langid.gram_counts(text[:500_000], 1 << 10), langid.gram_counts(text[499_998:], 1 << 10)
+    assert counts.sum() == 3 * len(text) - 3 and set(where) == set(code[0][0]) | set(code[1][0])
+
+
+# ---- neighbours
+
+def brute_near(ids, x, asked, k):
+    out = {}
+    for q in asked:
+        i = ids.index(q)
+        score = np.sqrt(((x - x[i]) ** 2).sum(1))
+        order = sorted((float(score[j]), ids[j]) for j in range(len(ids)) if ids[j] != q)
+        out[q] = order[:k]
+    return out
+
+
+def test_recall_and_exact_scores(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").collect()
+    ids = [r[0] for r in rows]
+    x = np.array([r[1] for r in rows], dtype=np.float64)
+    got = rpforest.nearest(table, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
+    want = brute_near(ids, x, [i for i in ids if i % 100 == 0], 10)
+    found = {}
+    for r in got:
+        own = found.setdefault(r["query_id"], [])
+        own.append((r["score"], r["vec_id"]))
+        assert r["rank"] == len(own)
+        assert r["score"] == pytest.approx(np.sqrt(((x[ids.index(r["query_id"])] - x[ids.index(r["vec_id"])]) ** 2).sum()), rel=1e-12)
+    assert set(found) == set(want) and all(len(v) == 10 and v == sorted(v) for v in found.values())
+    assert sum(len({i for _, i in found[q]} & {i for _, i in want[q]}) for q in want) / (10 * len(want)) >= 0.9
+
+
+def test_few_and_odd_vectors(spark):
+    nan = float("nan")
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]),
+            (6, [None, 1.0]), (7, [1.0]), (8, [float("inf"), 1.0]), (100, [1.0, 0.0]), (100, [1.0, 0.0]), (None, [1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(9))
+    got = rpforest.nearest(table, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
+    root = float(np.sqrt(2.0))
+    assert [tuple(r) for r in got] == [(0, 1, 1, 0.0), (0, 2, 100, 0.0), (0, 3, 2, root),
+                                       (100, 1, 0, 0.0), (100, 2, 1, 0.0), (100, 3, 2, root)]
+    assert rpforest.nearest(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_a_vector_shared_by_many(spark):
+    table = spark.range(3000).selectExpr("id as vec_id", "if(id % 3 = 0, array(1f, 2f), array(cast(id as float), cast(id % 17 as float))) as embedding")
+    rows = table.collect()
+    ids, x = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
+    got = {}
+    for r in rpforest.nearest(table, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    want = brute_near(ids, x, [i for i in ids if i % 100 == 0], 10)
+    assert all(sorted(got[q]) == want[q] for q in want if q % 3 == 0)
+
+
+# ---- shards
+
+def test_table_is_even_and_stable():
+    names = [f"s{i}" for i in range(13)]
+    table = sharding.lookup_table(names, 1021)
+    counts = np.bincount(table, minlength=13)
+    assert counts.max() - counts.min() <= 1
+    fewer = sharding.lookup_table(names[:5] + names[6:], 1021)
+    keep = [names.index(n) for n in names[:5] + names[6:]]
+    moved = sum(a != keep[b] for a, b in zip(table, fewer) if a != 5)
+    assert moved < 0.2 * 1021
+    for bad in (([], 7), (["a", "a"], 7), (["a"], 8), (["a", "b", "c"], 2)):
+        with pytest.raises(ValueError):
+            sharding.lookup_table(*bad)
+
+
+def test_shards_odd_rows(odd_docs, no_docs, tmp_path):
+    out = sharding.place(odd_docs, F.col("doc_id"), ["a", "b", "c"], 101)
+    assert out.count() == odd_docs.count() and set(out.columns) == set(odd_docs.columns)
+    table = sharding.lookup_table(["a", "b", "c"], 101)
+    for r in out.select("doc_id", "slot", "shard").collect():
+        text = "" if r["doc_id"] is None else str(r["doc_id"])
+        assert r["slot"] == sharding.text_hash(text) % 101 and r["shard"] == "abc"[table[r["slot"]]]
+    assert sharding.place(no_docs, F.col("doc_id"), ["a"], 2).count() == 0
+    sharding.write_shards(odd_docs, F.col("doc_id"), ["a", "b", "c"], str(tmp_path / "out"), 101, 2)
+    assert odd_docs.sparkSession.read.parquet(str(tmp_path / "out")).count() == odd_docs.count()
+
+
+# ---- licences
+
+def test_licenses_without_prefilter(make_docs):
+    rng = random.Random(6)
+    names = sorted(licenses.TEMPLATES)
+    texts = [None, "", "MIT", "the the the"]
+    for _ in range(120):
+        words = licenses.TEMPLATES[rng.choice(names)].split()
+        for _ in range(rng.randrange(0, 2 + len(words) // 3)):
+            words[rng.randrange(len(words))] = rng.choice(["foo", "license", "the", "software"])
+        body = " ".join(words)
+        texts.append(rng.choice([body, f"Some line.\n{body.upper()}\nmore", f"One. {body} Two.", f"a b\n\n{body}\n\nc d"]))
+
+    def pairs(t):
+        w = licenses.template_words(t)
+        return {(a, b) for a, b in zip(w, w[1:])}
+
+    sets = {n: pairs(t) for n, t in licenses.TEMPLATES.items()}
+    want = set()
+    for i, t in enumerate(texts):
+        if t is None:
+            continue
+        parts = [t, *re.split(r"\n\s*\n", t), *t.split("\n"), *re.split(r"[.!?]\s+", t)]
+        for p in {" ".join(licenses.template_words(p)) for p in parts}:
+            own = pairs(p)
+            scores = [(-2 * len(own & s) / (len(own) + len(s)), n) for n, s in sets.items()] if own else []
+            if scores and -min(scores)[0] >= 0.8:
+                want.add((i, min(scores)[1], round(-min(scores)[0], 9), p))
+    got = {(r["doc_id"], r["license"], round(r["dice"], 9), r["passage"]) for r in licenses.scan(make_docs(texts)).collect()}
+    assert got == want and len(want) > 60
+
+
+def test_licenses_odd_rows(odd_docs, no_docs):
+    assert licenses.scan(odd_docs).count() == 0 and licenses.scan(no_docs).count() == 0
+
+
+# ---- secrets
+
+def planted(make_docs):
+    rng = random.Random(8)
+    texts, secrets = [], {}
+    for i in range(240):
+        words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}word{rng.choice(['s', 'ing', ''])}" for _ in range(60)]
+        kind = i % 4
+        if kind == 0:
+            value = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+            words[30] = f'{rng.choice(["token", "api_key", "password"])} = "{value}"'
+            secrets[i] = value
+        elif kind == 1:
+            words[30] = f"mail.person{i}@mailserver{i}.example.com"
+        elif kind == 2:
+            words[30] = "".join(rng.choice("0123456789") for _ in range(16))
+        else:
+            words[30] = "internationalization"
+        texts.append(" ".join(words))
+    return make_docs(texts), secrets
+
+
+def test_forest_finds_planted_secrets(make_docs):
+    docs, secrets = planted(make_docs)
+    rows = secret_scan.scan(docs).collect()
+    assert {(r["doc_id"], r["secret"]) for r in rows if r["is_secret"]} == set(secrets.items())
+    assert {r["doc_id"] for r in rows} >= {i for i in range(240) if i % 4 in (0, 2, 3)}
+    masked = {r["doc_id"]: r for r in secret_scan.mask(docs).collect()}
+    for r in docs.collect():
+        text = r["text"].replace(secrets.get(r["doc_id"], "\0"), "[secret]")
+        assert masked[r["doc_id"]]["text"] == text and masked[r["doc_id"]]["n_chars"] == len(text)
+
+
+def test_labelled_findings_can_be_given(make_docs):
+    docs, secrets = planted(make_docs)
+    found = secret_scan.featured(secret_scan.candidates(docs), docs, secret_scan.SecretSpec())
+    own = found.withColumn("label", F.col("doc_id").isin(*[i for i in secrets if i < 120]).cast("double")).filter("doc_id < 120")
+    rows = secret_scan.scan(docs, own).filter("doc_id >= 120 and is_secret").collect()
+    assert {r["doc_id"] for r in rows} == {i for i in secrets if i >= 120}
+
+
+def test_secrets_odd_rows(odd_docs, no_docs):
+    assert secret_scan.scan(odd_docs).count() == 0 and secret_scan.scan(no_docs).count() == 0
+    out = secret_scan.mask(odd_docs)
+    assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
+
+
+def test_candidates_against_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = set()
+    for r in docs.collect():
+        for k, word in enumerate(re.split(r"[ \t\n\x0B\f\r]+", r["text"] or "")):
+            if len(word) >= 16:
+                for j, raw in enumerate(re.findall(r"[A-Za-z0-9+/_=.\-]{16,}", word)):
+                    own = re.sub(r"^[=./\-]+|[.=/\-]+$", "", raw)
+                    if len(own) >= 16:
+                        want.add((r["doc_id"], k, j, own))
+    got = secret_scan.candidates(docs).select("doc_id", "word_no", "part", "secret")
+    assert {tuple(r) for r in got.collect()} == want
+
+
+# ---- registered queries
+
+def test_native_operators_run_no_python(spark):
+    for name in ("op1_merkle", "op10_licenses", "op7_secret_scan"):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+        assert not re.search("Python|Pandas|Arrow", plan), name
