@@ -17,8 +17,7 @@ SCORE_PAGE_PATTERNS = {
 }
 # The warning block that lists unresolved names, and one line of it.
 UNRESOLVED_BLOCK = (
-    r"(?is)ERROR:\s*Not all card data was loaded.*?check your formatting[^\n]*\n+"
-    r"(.*?)(?:Analyze List|Reset All|\z)"
+    r"(?i)ERROR:\s*Not all card data was loaded.*?check your formatting[^\n]*\n+([\s\S]*?)(?:Analyze List|Reset All|\z)"
 )
 UNRESOLVED_LINE = r"(?m)^\s*\d+\s+(.+?)\s*$"
 # The reading a score page shows before it has computed anything.

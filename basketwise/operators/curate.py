@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketwise.functions import sets, text
+from basketwise.functions.coerce import as_double, as_long
 from basketwise.functions.skew import HOT_ROWS, join_group_values
 from basketwise.session import materialize
 
@@ -40,11 +41,11 @@ class CurationRules:
 def latest_records(df: DataFrame, id_col: str, recency: Sequence[Column], position: Column) -> DataFrame:
     """Most recent record per id; equal recency keeps the earliest position.
 
-    Recency is the first non-NULL of ``recency``, compared as text. Records without an id pass
-    through. ``max_by`` combines on the map side, so an id that owns a third of the log costs
+    Recency is the first of ``recency`` that is neither NULL nor empty, compared as text; none at all ranks lowest.
+    Records without an id pass through. ``max_by`` combines on the map side, so an id that owns a third of the log costs
     one row per task instead of one huge sort.
     """
-    key = F.coalesce(*[c.cast("string") for c in recency], F.lit(""))
+    key = F.coalesce(*[F.nullif(c.cast("string"), F.lit("")) for c in recency], F.lit(""))
     keyed = df.withColumn("__key", key).withColumn("__pos", position)
     row = F.struct(*[F.col(c) for c in df.columns])
     per_key = keyed.filter(F.col(id_col).isNotNull()).groupBy(id_col, "__key").agg(
@@ -59,7 +60,7 @@ def unwrap(raw: DataFrame) -> DataFrame:
     candidates = [F.col(c) for c in ("response", "payload") if c in raw.columns]
     payload = F.coalesce(*candidates)
     reason = (
-        F.when(F.col("status").isNotNull() & (F.col("status") != 200), F.lit("fetch_status_not_200"))
+        F.when(F.col("status").isNotNull() & ~as_long(F.col("status")).eqNullSafe(200), F.lit("fetch_status_not_200"))
         .when(payload.isNull() | payload["cards"].isNull(), F.lit("missing_deck_payload"))
     )
     rest = [c for c in raw.columns if c not in ("response", "payload")]
@@ -71,7 +72,14 @@ def snapshot_id(source: str, id_col: Column, fetched_at: Column) -> Column:
 
 
 def owner_id(owner: Column) -> Column:
-    return F.coalesce(owner["id"].cast("string"), owner["username"])
+    """Id, else name, of an owner that is raw JSON: an object or the id itself."""
+    inside = F.coalesce(F.get_json_object(owner, "$.id"), F.get_json_object(owner, "$.username"))
+    return F.when(F.startswith(owner, F.lit("{")), inside).otherwise(owner)
+
+
+def whole_id(c: Column) -> Column:
+    """Whole-number id of any size in the type's range, NULL for anything else."""
+    return F.coalesce(c.try_cast("bigint").cast("bigint"), as_long(c))
 
 
 def metadata_only(payload: Column) -> Column:
@@ -111,20 +119,23 @@ def exclusion_reasons(deleted: Column, companion: Column, categories: Column, ex
 
 
 def raw_lines(records: DataFrame) -> DataFrame:
-    """One row per line of usable records, with item attributes and exclusion reasons."""
+    """One row per line of usable records, with item attributes and exclusion reasons.
+
+    ``record_id`` names the record: an id may be missing, and then it cannot tell records apart.
+    """
     cats = F.col("payload.categories")
     exploded = records.filter(F.col("fetch_reason").isNull()).select(
-        "deck_id", "fetched_at",
+        "record_id", "entity_id", "fetched_at",
         excluded_categories(cats).alias("excluded"), lead_categories(cats).alias("lead"),
         F.posexplode("payload.cards").alias("line_number", "line"),
     )
     item = F.col("line.card.oracleCard")
     categories = F.coalesce(F.col("line.categories"), F.array().cast("array<string>"))
     return exploded.select(
-        F.col("deck_id").alias("entity_id"), "fetched_at", "line_number",
+        "record_id", "entity_id", "fetched_at", "line_number",
         F.col("line.id").alias("line_id"),
         item["uid"].alias("item_id"), item["name"].alias("item_name"),
-        F.coalesce(F.col("line.quantity"), F.lit(0)).cast("bigint").alias("quantity"),
+        F.coalesce(as_long(F.col("line.quantity")), F.lit(0)).cast("bigint").alias("quantity"),
         categories.alias("categories"),
         F.coalesce(F.arrays_overlap(F.transform(categories, text.normalize), F.col("lead")), F.lit(False))
         .alias("is_lead"),
@@ -136,7 +147,7 @@ def raw_lines(records: DataFrame) -> DataFrame:
         sets.color_mask(sets.color_symbols(item["colorIdentity"])).alias("color_mask"),
         (is_basic(item["name"], item["superTypes"], item["types"]) | text.matches_any(item["text"]))
         .alias("copies_allowed"),
-        item.alias("item"),
+        F.when(item.isNotNull(), item.withField("cmc", as_double(item["cmc"]))).alias("item"),
         F.col("line.card.rarity").alias("rarity"), F.col("line.card.prices").alias("prices"),
     )
 
@@ -287,58 +298,44 @@ def violations(lines: DataFrame, facts: DataFrame, entity: str = "entity_id") ->
 
 
 def fingerprints(lines: DataFrame, entity: str = "entity_id", item: str = "item_id",
-                 quantity: str = "quantity", inline_lines: int = 10_000) -> DataFrame:
-    """``(entity, fingerprint, n_lines)``: equal for equal multisets of (item, quantity) lines.
+                 quantity: str = "quantity") -> DataFrame:
+    """``(entity, fingerprint, n_lines)``: SHA-256 of the sorted ``item:qty`` texts joined by ``|``.
 
-    Up to ``inline_lines`` lines: SHA-256 of the sorted ``item:qty`` texts joined by ``|``. Larger
-    baskets would need their whole list in one task, so they get a digest of order-free hash sums
-    instead; baskets of equal content have equal size, so the two forms never have to compare.
+    One form for every basket, so values stay comparable over runs and rule changes. A basket's list of short
+    texts is one row; lines without an item are left out.
     """
     clean = lines.filter(F.col(item).isNotNull() & (F.col(item).cast("string") != ""))
     part = F.concat(F.col(item).cast("string"), F.lit(":"), F.col(quantity).cast("string"))
-    listed = clean.select(entity, part.alias("__part"))
-    copies = listed.groupBy(entity, "__part").agg(F.count(F.lit(1)).alias("__copies"))
-    wide = "decimal(38,0)"
-
-    def digest(seed: int) -> Column:
-        return F.sum(F.xxhash64(F.lit(seed), F.col("__part")).cast("decimal(20,0)") * F.col("__copies").cast("decimal(12,0)")).cast(wide)
-
-    large = (
-        copies.groupBy(entity)
-        .agg(F.sum("__copies").alias("n_lines"), digest(1).alias("__a"), digest(2).alias("__b"))
-        .filter(F.col("n_lines") > inline_lines)
-        .select(entity, F.sha2(F.concat_ws(":", F.lit("sum"), "n_lines", "__a", "__b"), 256).alias("fingerprint"),
-                "n_lines")
-    )
-    # at most lines / inline_lines entities are large, which bounds this broadcast
-    small = (
-        listed.join(F.broadcast(large.select(entity)), entity, "left_anti")
-        .groupBy(entity)
-        .agg(F.sha2(F.array_join(F.sort_array(F.collect_list("__part")), "|"), 256).alias("fingerprint"),
-             F.count(F.lit(1)).alias("n_lines"))
-    )
-    return small.unionByName(large)
+    return clean.groupBy(entity).agg(
+        F.sha2(F.array_join(F.sort_array(F.collect_list(part)), "|"), 256).alias("fingerprint"),
+        F.count(F.lit(1)).alias("n_lines"))
 
 
 def fingerprint_dedup(prints: DataFrame, entity: str, order: Column, history: DataFrame | None = None,
-                      hot_limit: int = HOT_ROWS) -> DataFrame:
-    """Add ``keeper_id`` and ``is_duplicate``. ``history`` rows ``(entity, fingerprint)`` win over new ones."""
+                      hot_limit: int = HOT_ROWS, unique: str | None = None) -> DataFrame:
+    """Add ``keeper_id`` and ``is_duplicate``. ``history`` rows ``(entity, fingerprint)`` win over new ones.
+
+    ``unique`` names a column that tells rows apart where ``entity`` may be NULL.
+    """
+    unique = unique or entity
     new = prints.withColumn("__order", F.struct(F.lit(1).alias("new"), order.alias("o")))
-    seen = new.select("fingerprint", F.col(entity).alias("keeper_id"), "__order")
+    seen = new.select("fingerprint", F.struct(F.col(entity).alias("id"), F.col(unique).alias("key")).alias("__keeper"), "__order")
     if history is not None:
         null_order = F.lit(None).cast(new.schema["__order"].dataType["o"].dataType)
+        no_key = F.lit(None).cast(prints.schema[unique].dataType)
         seen = seen.unionByName(history.select(
-            "fingerprint", F.col(entity).alias("keeper_id"),
+            "fingerprint", F.struct(F.col(entity).alias("id"), no_key.alias("key")).alias("__keeper"),
             F.struct(F.lit(0).alias("new"), null_order.alias("o")).alias("__order"),
         ))
     keepers = seen.groupBy("fingerprint").agg(
-        F.min_by("keeper_id", F.struct("__order", "keeper_id")).alias("keeper_id"),
+        F.min_by("__keeper", F.struct("__order", "__keeper")).alias("__keeper"),
         F.min(F.col("__order.new")).alias("__from_history"),
         F.count(F.lit(1)).alias("__copies"),
     )
-    joined = join_group_values(new, keepers, ["fingerprint"], "__copies", F.col(entity), hot_limit)
-    duplicate = (F.col("__from_history") == 0) | (F.col("keeper_id") != F.col(entity))
-    return joined.withColumn("is_duplicate", duplicate).drop("__order", "__from_history", "__copies")
+    joined = join_group_values(new, keepers, ["fingerprint"], "__copies", F.col(unique), hot_limit)
+    duplicate = (F.col("__from_history") == 0) | ~F.col("__keeper.key").eqNullSafe(F.col(unique))
+    return joined.withColumn("keeper_id", F.col("__keeper.id")).withColumn("is_duplicate", duplicate).drop(
+        "__order", "__from_history", "__copies", "__keeper")
 
 
 def first_seen_items(lines: DataFrame, order: Column, item: str = "item_id",
@@ -357,49 +354,54 @@ def first_seen_items(lines: DataFrame, order: Column, item: str = "item_id",
 
 
 def curate(raw: DataFrame, rules: CurationRules, position: str = "position",
-           history: DataFrame | None = None, ingested_at: str | None = None) -> dict[str, DataFrame]:
+           history: DataFrame | None = None, ingested_at: str | None = None,
+           known_items: DataFrame | None = None, known_rejected: DataFrame | None = None) -> dict[str, DataFrame]:
     """Raw fetch log to ``accepted``, ``rejected``, ``items``, ``lines`` and ``violations``.
 
     ``history`` holds ``(entity_id, fingerprint)`` of earlier runs: known ids are skipped, known
-    baskets rejected as duplicates. ``ingested_at`` stands in for a missing fetch time.
+    baskets rejected as duplicates. ``known_rejected`` (``snapshot_id``) are skipped, ``known_items`` (``item_id``)
+    are not written again. ``ingested_at`` stands in for a missing fetch time, once the latest record of
+    every id is chosen: an undated record never wins over a dated one.
 
     Latest records, lines, judgements and the deduplicated baskets are each stored once in the shared
     folder: five outputs hang off them, and without a stored stage every output would parse the raw
-    log again.
+    log again. Everything is keyed by the stored record, since ids may be missing.
     """
-    records = raw.withColumn("fetched_at", F.coalesce("fetched_at", F.lit(ingested_at)))
-    latest = latest_records(
-        records, "deck_id", [F.col("response.updatedAt"), F.col("fetched_at")], F.col(position)
-    )
+    keyed = raw.withColumn("entity_id", whole_id(F.col("deck_id").cast("string"))).drop("deck_id")
+    latest = latest_records(keyed, "entity_id", [F.col("response.updatedAt"), F.col("fetched_at")], F.col(position))
+    latest = latest.withColumn("fetched_at", F.coalesce(F.nullif("fetched_at", F.lit("")), F.lit(ingested_at))).withColumn(
+        "snapshot_id", snapshot_id(rules.source, F.col("entity_id"), F.col("fetched_at")))
     if history is not None:
-        latest = latest.join(history.select(F.col("entity_id").alias("deck_id")).distinct(), "deck_id", "left_anti")
-    unwrapped = materialize(unwrap(latest), "curate-records")
+        latest = skip_existing(latest, history, ["entity_id"])
+    if known_rejected is not None:
+        latest = skip_existing(latest, known_rejected, ["snapshot_id"])
+    unwrapped = materialize(unwrap(latest).withColumn("record_id", F.monotonically_increasing_id()), "curate-records")
     usable = unwrapped.filter(F.col("fetch_reason").isNull())
     all_lines = materialize(raw_lines(unwrapped), "curate-lines")
     lines = kept(all_lines)
-    facts = materialize(line_facts(lines), "curate-facts")
+    facts = materialize(line_facts(lines, "record_id"), "curate-facts")
     p = F.col("payload")
     entities = usable.select(
-        F.col("deck_id").alias("entity_id"),
-        snapshot_id(rules.source, F.col("deck_id"), F.col("fetched_at")).alias("snapshot_id"),
+        "record_id", "entity_id", "snapshot_id",
         F.col("detail_url").alias("source_url"), "fetched_at", F.col(position).alias("position"),
         p["updatedAt"].alias("updated_at"), p["name"].alias("name"),
-        p["edhBracket"].alias("target_label"), p["viewCount"].alias("views"),
-        p["private"].alias("private"), p["unlisted"].alias("unlisted"), p["deckFormat"].alias("basket_format"),
+        as_long(p["edhBracket"]).alias("target_label"), as_long(p["viewCount"]).alias("views"),
+        p["private"].alias("private"), p["unlisted"].alias("unlisted"), as_long(p["deckFormat"]).alias("basket_format"),
         owner_id(p["owner"]).alias("owner_id"),
         excluded_categories(p["categories"]).alias("excluded_categories"),
         lead_categories(p["categories"]).alias("lead_categories"),
         F.size(p["cards"]).cast("bigint").alias("total_lines"),
+        F.to_json(metadata_only(p)).alias("raw_metadata"),
     )
-    trace = trace_maps(extraction_trace(all_lines)).select(
-        "entity_id", "excluded_rows", "excluded_quantity", "included_rows", "included_quantity", "lead_rows"
-    )
+    trace_columns = ["excluded_rows", "excluded_quantity", "included_rows", "included_quantity", "lead_rows"]
+    trace = trace_maps(extraction_trace(all_lines, "record_id"), "record_id").select("record_id", *trace_columns)
     judged = materialize(
-        entities.join(facts, "entity_id", "left").join(trace, "entity_id", "left")
+        entities.join(facts, "record_id", "left").join(trace, "record_id", "left")
         .withColumn("rejection_reasons", rejection_reasons(rules)), "curate-judged")
     passed = judged.filter(F.size("rejection_reasons") == 0)
     # a passed basket holds at most max_size copies, so its line list is bounded
-    nested = lines.join(passed.select("entity_id"), "entity_id", "left_semi").groupBy("entity_id").agg(
+    passed_lines = lines.join(passed.select("record_id"), "record_id", "left_semi")
+    nested = passed_lines.groupBy("record_id").agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct(
                 "line_number", "line_id", "item_id", "item_name", "quantity", "categories", "is_lead",
@@ -407,44 +409,48 @@ def curate(raw: DataFrame, rules: CurationRules, position: str = "position",
             lambda s: s.dropFields("line_number"),
         ).alias("mainboard"),
         F.sort_array(F.collect_set(F.when(F.col("is_lead"), F.col("item_id")))).alias("lead_item_ids"),
+        sets.mask_key(F.bit_or(F.when(F.col("is_lead"), F.col("color_mask")).otherwise(F.lit(0)))).alias("color_identity"),
     )
-    prints = fingerprints(lines.join(passed.select("entity_id"), "entity_id", "left_semi"),
-                          inline_lines=max(10_000, rules.max_size))
-    ranked = passed.join(prints.select("entity_id", "fingerprint"), "entity_id")
-    deduped = materialize(fingerprint_dedup(ranked, "entity_id", F.col("position"), history), "curate-deduped")
+    ranked = passed.join(fingerprints(passed_lines, "record_id").drop("n_lines"), "record_id")
+    deduped = materialize(
+        fingerprint_dedup(ranked, "entity_id", F.col("position"), history, unique="record_id"), "curate-deduped")
     accepted = (
-        deduped.filter(~F.col("is_duplicate")).join(nested, "entity_id")
-        .drop("is_duplicate", "keeper_id", "rejection_reasons", "position")
+        deduped.filter(~F.col("is_duplicate")).join(nested, "record_id")
+        .drop("is_duplicate", "keeper_id", "rejection_reasons", "position", "record_id")
     )
-    winners = deduped.filter(~F.col("is_duplicate")).select("entity_id", "snapshot_id")
     summary = F.struct("name", "private", "unlisted", "basket_format", "target_label", "views")
     base = ["entity_id", "snapshot_id", "fetched_at", "source_url"]
     failed = judged.filter(F.size("rejection_reasons") > 0).select(
-        *base, "rejection_reasons", summary.alias("raw_summary"), F.lit(None).cast("bigint").alias("duplicate_of")
+        *base, "rejection_reasons", summary.alias("raw_summary"), F.lit(None).cast("bigint").alias("duplicate_of"),
+        F.struct(*trace_columns).alias("trace"),
     )
     duplicates = deduped.filter("is_duplicate").select(
         *base, F.array(F.lit("duplicate_card_list")).alias("rejection_reasons"),
-        summary.alias("raw_summary"), F.col("keeper_id").alias("duplicate_of")
+        summary.alias("raw_summary"), F.col("keeper_id").alias("duplicate_of"), F.struct(*trace_columns).alias("trace"),
     )
     unusable = unwrapped.filter(F.col("fetch_reason").isNotNull()).select(
-        F.col("deck_id").alias("entity_id"),
-        snapshot_id(rules.source, F.col("deck_id"), F.col("fetched_at")).alias("snapshot_id"),
-        "fetched_at", F.col("detail_url").alias("source_url"),
+        "entity_id", "snapshot_id", "fetched_at", F.col("detail_url").alias("source_url"),
         F.array("fetch_reason").alias("rejection_reasons"),
         F.lit(None).cast(failed.schema["raw_summary"].dataType).alias("raw_summary"),
         F.lit(None).cast("bigint").alias("duplicate_of"),
+        F.lit(None).cast(failed.schema["trace"].dataType).alias("trace"),
     )
-    accepted_lines = lines.join(winners, "entity_id")
+    accepted_lines = lines.drop("entity_id", "fetched_at").join(
+        deduped.filter(~F.col("is_duplicate")).select("record_id", "entity_id", "snapshot_id", "fetched_at"), "record_id") \
+        .drop("record_id")
     items = first_seen_items(
         accepted_lines, F.struct("fetched_at", "entity_id", "line_number"),
         carry=["item_name", "entity_id", "fetched_at", "item"],
     ).withColumnsRenamed({"entity_id": "first_seen_entity_id", "fetched_at": "first_seen_fetched_at"})
+    if known_items is not None:
+        items = skip_existing(items, known_items, ["item_id"])
+    names = judged.select("record_id", "entity_id", "snapshot_id")
     return {
         "accepted": accepted,
         "rejected": failed.unionByName(duplicates).unionByName(unusable),
         "items": items,
         "lines": accepted_lines,
-        "violations": violations(lines, facts),
+        "violations": violations(lines.drop("entity_id"), facts, "record_id").join(names, "record_id").drop("record_id"),
     }
 
 

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from basketwise.functions import sets
 from basketwise.functions.coerce import finite, weighted_mean, weighted_pop_std
-from basketwise.functions.skew import with_slices
 from basketwise.operators.curate import is_basic
 
 # Keywords and layouts that get a column of their own, price vendors by preference.
@@ -89,13 +88,9 @@ def bag_long(lines: DataFrame, entity: str = "entity_id") -> DataFrame:
     )
 
 
-def bag_map(bag: DataFrame, entity: str = "entity_id", max_items: int | None = 100_000) -> DataFrame:
-    """``(entity, slice, counts)`` with a map per basket. Baskets with more than ``max_items``
-    distinct items come as several slices, so no map outgrows a task. ``None`` gives one map per
-    basket, for vectors, which hold one row per basket whatever its size."""
-    sliced = with_slices(bag, [entity], F.col("item_id"), max_items) if max_items else \
-        bag.withColumn("slice", F.lit(0).cast("bigint"))
-    return sliced.groupBy(entity, "slice").agg(
+def bag_map(bag: DataFrame, entity: str = "entity_id") -> DataFrame:
+    """``(entity, counts)``: one map per basket. The long form (:func:`bag_long`) is the one without a bound on rows."""
+    return bag.groupBy(entity).agg(
         F.map_from_entries(F.collect_list(F.struct("item_id", "quantity"))).alias("counts")
     )
 

@@ -16,17 +16,15 @@ MANY_FLAGS = 5
 
 
 def item_list_text(lines: DataFrame, order: Sequence[str], entity: str = "entity_id", name: str = "item_name",
-                   quantity: str = "quantity", line_number: str = "line_id", slice_lines: int = 10_000) -> DataFrame:
-    """``(entity, slice, text)`` with one ``"{qty} {name}"`` per line, in order.
+                   quantity: str = "quantity") -> DataFrame:
+    """``(entity, text)`` with one ``"{qty} {name}"`` per line, in order; one row per entity.
 
-    Lines without a name or with a quantity below one are left out. Line numbers cut long baskets
-    into slices of ``slice_lines``, so an ordinary basket is slice 0 and none outgrows a task.
+    Lines without a name or with a quantity below one are left out.
     """
     listed = lines.filter(F.col(name).isNotNull() & (F.col(name) != "") & (F.col(quantity) > 0)).select(
-        entity, F.floor(F.col(line_number) / slice_lines).cast("bigint").alias("slice"),
-        F.struct(*order, F.concat_ws(" ", F.col(quantity).cast("string"), name).alias("text")).alias("__line"),
+        entity, F.struct(*order, F.concat_ws(" ", F.col(quantity).cast("string"), name).alias("text")).alias("__line"),
     )
-    return listed.groupBy(entity, "slice").agg(
+    return listed.groupBy(entity).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list("__line")), lambda x: x["text"]), "\n").alias("text")
     )
 

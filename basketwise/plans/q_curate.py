@@ -215,7 +215,7 @@ def ingest_skip_existing(spark, sf):
 
 
 @R.query("text_item_list", """
-SELECT l_orderkey AS entity_id, CAST(0 AS BIGINT) AS slice,
+SELECT l_orderkey AS entity_id,
   string_agg(CAST(l_quantity AS BIGINT) || ' ' || p_name, chr(10) ORDER BY l_linenumber, l_partkey, l_quantity) AS text
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey""")
 def text_item_list(spark, sf):

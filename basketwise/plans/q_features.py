@@ -257,13 +257,13 @@ def bag_long(spark, sf):
 
 @R.query("bag_map", f"""WITH {t.LINES}, bag AS (
   SELECT entity_id, item_id, sum(quantity) AS q FROM lines WHERE quantity > 0 GROUP BY ALL)
-SELECT entity_id, CAST(0 AS BIGINT) AS slice, CAST(count(*) AS BIGINT) AS n_items,
+SELECT entity_id, CAST(count(*) AS BIGINT) AS n_items,
   string_agg(item_id || ':' || q, ',' ORDER BY item_id) AS counts FROM bag GROUP BY entity_id""")
 def bag_map(spark, sf):
     """The bag as one map per basket, printed in item order."""
     maps = features.bag_map(features.bag_long(t.lines(spark, sf)))
     entries = F.array_sort(F.map_entries("counts"))
     return maps.select(
-        "entity_id", "slice", F.size("counts").cast("bigint").alias("n_items"),
+        "entity_id", F.size("counts").cast("bigint").alias("n_items"),
         F.array_join(F.transform(entries, lambda e: F.concat(
             e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",").alias("counts"))

@@ -109,16 +109,14 @@ def test_stream_equals_batch_and_second_run_adds_nothing(spark, tmp_path):
         assert rows(inc.read_table(spark, f"{out}/{name}"), *cols) == rows(batch[name], *cols)
 
 
-def test_fingerprint_forms_agree_on_equality(spark):
+def test_fingerprints_have_one_form(spark):
     data = [(1, "a", 1), (1, "b", 2), (2, "b", 2), (2, "a", 1), (3, "a", 1), (3, "b", 3), (4, "a", 1), (4, "a", 1)]
     lines = spark.createDataFrame(data, "entity_id long, item_id string, quantity int")
     import hashlib
 
-    for limit in (10_000, 1):
-        got = {r["entity_id"]: r["fingerprint"] for r in curate.fingerprints(lines, inline_lines=limit).collect()}
-        assert got[1] == got[2] and len({got[1], got[3], got[4]}) == 3
-    inline = {r["entity_id"]: r["fingerprint"] for r in curate.fingerprints(lines).collect()}
-    assert inline[1] == hashlib.sha256(b"a:1|b:2").hexdigest()
+    got = {r["entity_id"]: r["fingerprint"] for r in curate.fingerprints(lines).collect()}
+    assert got[1] == got[2] and len({got[1], got[3], got[4]}) == 3
+    assert got[1] == hashlib.sha256(b"a:1|b:2").hexdigest()
 
 
 def test_hot_fingerprint_is_joined_in_slices(spark):
@@ -134,11 +132,57 @@ def test_item_list_and_candidates(spark):
     lines = spark.createDataFrame([(1, 0, "Sol Ring", 1), (1, 1, "Forest", 8), (1, 2, "Skip", 0), (1, 3, None, 4)],
                                   "entity_id long, line_id long, item_name string, quantity long")
     assert rows(selection.item_list_text(lines, ["line_id"]), "text") == [("1 Sol Ring\n8 Forest",)]
-    sliced = selection.item_list_text(lines, ["line_id"], slice_lines=1)
-    assert rows(sliced, "slice", "text") == [(0, "1 Sol Ring"), (1, "8 Forest")]
     pages = spark.createDataFrame(
         [(2, 1, {"results": [{"id": "5", "viewCount": 10}, {"id": "x", "viewCount": 2000}]}),
          (2, 2, {"results": [{"id": "6", "viewCount": 1500}]})],
         "bracket int, page int, response struct<results array<struct<id string, viewCount bigint>>>")
     assert rows(selection.listing_candidates(pages, 1000), "entity_id") == [(6,)]
     assert rows(selection.pages_below(pages, 1000), "page", "all_below") == [(1, False), (2, False)]
+
+
+def test_undated_record_loses_and_odd_types_pass(spark, tmp_path):
+    """A record without any time ranks lowest; scalar owners, ids that are no numbers and text costs are read."""
+    undated = {k: v for k, v in deck(name="undated").items() if k != "updatedAt"}
+    records = [record(1, undated, fetched=None), record(1, {**undated, "name": "dated", "owner": 5}),
+               record(2, {**deck(name="blank"), "updatedAt": ""}, fetched="2025-01-01"),
+               record(2, {**deck(98, extra=[line("other", 500)], name="later"), "updatedAt": ""}, fetched="2025-02-01"),
+               record("abc", deck(97, extra=[line("x", 500), line("y", 501, cmc="not a cost")], owner="bob")),
+               record(None, deck(97, extra=[line("x", 500), line("z", 501)], edhBracket="3", viewCount="2000"))]
+    out = run(spark, tmp_path / "odd.jsonl", records)
+    got = sorted((r["name"], r["entity_id"], r["owner_id"]) for r in out["accepted"].collect())
+    assert out["rejected"].count() == 0
+    assert [g[0] for g in got] == ["Deck", "Deck", "dated", "later"] and {g[1] for g in got} == {None, 1, 2}
+    assert {g[2] for g in got} == {"5", "7", "bob"}
+    costs = {r["item_id"]: r["item"]["cmc"] for r in out["items"].collect()}
+    assert costs["y"] is None and costs["x"] == 1.0
+
+
+def test_rejects_carry_their_trace_and_accepted_their_metadata(spark, tmp_path):
+    out = run(spark, tmp_path / "t.jsonl", [record(1, deck(private=True, extra=[line("s", 900, categories=("Sideboard",))])), record(2, deck())])
+    bad = out["rejected"].first()
+    assert bad["trace"]["excluded_rows"] == {"excluded_category": 1} and bad["trace"]["included_rows"] == 100
+    import json
+
+    good = json.loads(out["accepted"].first()["raw_metadata"])
+    assert good["name"] == "Deck" and "cards" not in good
+
+
+def test_broken_lines_are_set_aside(spark, tmp_path):
+    path = tmp_path / "q.jsonl"
+    path.write_text('{"deck_id": 1, "response": {"private": "no", "owner": 5}}\n\n{"deck_id": oops\n[1]\n{"deck_id": "abc"}\n')
+    good, broken = jsonl.read_jsonl_quarantine(spark, str(path), RAW_DETAILS)
+    assert [(r["deck_id"], r["response"] and r["response"]["owner"]) for r in good.collect()] == [("1", "5"), ("abc", None)]
+    assert [r["line"] for r in broken.orderBy("line_order").collect()] == ['{"deck_id": oops', "[1]"]
+
+
+def test_items_and_rejects_are_written_once_over_batches(spark, tmp_path):
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    other = deck(98, extra=[line("new", 500)])
+    for name, records in (("a", [record(1, deck()), record(2, deck(private=True))]), ("b", [record(2, deck(private=True)), record(3, other)])):
+        write(tmp_path / "in" / f"{name}.jsonl", records)
+        inc.curate_stream(inc.file_stream(spark, str(tmp_path / "in"), RAW_DETAILS), RULES, out, ckpt, "2025-03-01")
+    items = inc.read_table(spark, f"{out}/items")
+    assert items.count() == items.select("item_id").distinct().count() == 101
+    assert rows(inc.read_table(spark, f"{out}/rejected"), "entity_id") == [(2,)]
+    assert rows(inc.read_table(spark, f"{out}/accepted"), "entity_id") == [(1,), (3,)]
+    assert inc.read_table(spark, f"{out}/violations").count() == 0
