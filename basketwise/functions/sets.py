@@ -47,7 +47,3 @@ def has(array: Column, value: str) -> Column:
 def length(array: Column) -> Column:
     """Array length with NULL as 0."""
     return F.coalesce(F.greatest(F.size(array), F.lit(0)), F.lit(0)).cast("bigint")
-
-
-def is_subset(a: Column, b: Column) -> Column:
-    return F.size(F.array_except(a, b)) == 0

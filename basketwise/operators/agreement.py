@@ -24,15 +24,12 @@ def agreement_scores(preds: DataFrame, by: Sequence[str], y_ref: str = "y2", y_p
     counts = confusion(comparable(preds, labels, y_pred, y_ref), by, y_ref, y_pred)
     gap = F.abs(F.col("y_true") - F.col("y_pred"))
     n = F.sum("n")
-    aggs = [
-        (F.sum(F.when(gap == 0, F.col("n")).otherwise(0)) / n).alias("exact"),
+    more = [
         (F.sum(F.when(gap <= 1, F.col("n")).otherwise(0)) / n).alias("within_1"),
         (F.sum(gap * F.col("n")) / n).alias("mean_abs_delta"),
     ]
-    macro = scores(counts, by, labels)
-    if by:
-        return counts.groupBy(*by).agg(*aggs).join(macro.select(*by, "n", "macro_f1"), list(by))
-    return counts.agg(*aggs).join(macro.select("n", "macro_f1"))  # two one-row tables
+    return scores(counts, by, labels, also=more).select(
+        *by, F.col("accuracy").alias("exact"), "within_1", "mean_abs_delta", "n", "macro_f1")
 
 
 def subset_of(y_true: Column, y2: Column) -> Column:

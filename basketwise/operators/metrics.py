@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketwise.functions.coerce import finite
-from basketwise.functions.ranking import top_per_group
 
 # The ordinal classes of the modelling base.
 LABELS = (2, 3, 4)
@@ -57,16 +56,34 @@ def per_class(counts: DataFrame, by: Sequence[str], labels: Sequence[int] = LABE
         .withColumn("f1", _safe(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def scores(counts: DataFrame, by: Sequence[str], labels: Sequence[int] = LABELS, seen_only: bool = False) -> DataFrame:
-    """Accuracy and macro scores. ``seen_only`` averages over labels that occur instead of the fixed list."""
-    classes = per_class(counts, by, labels)
-    used = classes.filter((F.col("support") > 0) | (F.col("predicted") > 0)) if seen_only else classes
-    macro = [F.avg("precision").alias("precision_macro"), F.avg("recall").alias("recall_macro"), F.avg("f1").alias("macro_f1")]
-    total = [F.sum("n").cast("bigint").alias("n"),
-             (F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy")]
-    if by:
-        return counts.groupBy(*by).agg(*total).join(used.groupBy(*by).agg(*macro), list(by))
-    return counts.agg(*total).join(used.agg(*macro))  # two one-row tables
+def scores(counts: DataFrame, by: Sequence[str], labels: Sequence[int] = LABELS, seen_only: bool = False,
+           also: Sequence[Column] = ()) -> DataFrame:
+    """Accuracy and macro scores from one aggregate, with the aggregates in ``also`` beside them. ``seen_only`` averages
+    over labels that occur instead of the fixed list."""
+    aggs = [F.sum("n").cast("bigint").alias("n"),
+            (F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy")]
+    for c in labels:
+        true, pred = F.col("y_true") == c, F.col("y_pred") == c
+        for name, cond in (("tp", true & pred), ("support", true), ("predicted", pred)):
+            aggs.append(F.sum(F.when(cond, F.col("n")).otherwise(0)).cast("bigint").alias(f"__{name}_{c}"))
+    plain = len(aggs)
+    aggs += also
+    wide = counts.groupBy(*by).agg(*aggs) if by else counts.agg(*aggs)
+    beside = wide.columns[len(by) + plain:]
+    side = lambda name, c: F.col(f"__{name}_{c}")
+    classes = F.array(*[F.struct(
+        _safe(side("tp", c), side("predicted", c)).alias("precision"), _safe(side("tp", c), side("support", c)).alias("recall"),
+        _safe(2.0 * side("tp", c), side("support", c) + side("predicted", c)).alias("f1"),
+        ((side("support", c) > 0) | (side("predicted", c) > 0)).alias("seen")) for c in labels])
+    used = F.filter(classes, lambda x: x["seen"]) if seen_only else classes
+
+    def mean(name: str) -> Column:
+        total = F.aggregate(F.col("__used"), F.lit(0.0), lambda s, x: s + x[name])
+        return F.when(F.size("__used") > 0, total / F.size("__used"))
+
+    return wide.withColumn("__used", used).select(
+        *by, "n", "accuracy", mean("precision").alias("precision_macro"), mean("recall").alias("recall_macro"),
+        mean("f1").alias("macro_f1"), *beside)
 
 
 def fold_scores(preds: DataFrame, by: Sequence[str] = ("model_id", "fold_id"), labels: Sequence[int] = LABELS) -> DataFrame:
@@ -220,11 +237,3 @@ def gain_over_single(ensembles: DataFrame, singles: DataFrame, score: str = "mac
     return joined.select(
         "voting_id", "representation", reference["model_id"].alias("reference_model"), F.col(score),
         reference["s"].alias("reference_score"), (F.col(score) - reference["s"]).alias("gain"))
-
-
-def best_first(df: DataFrame, column: str, n: int, id_col: str = "model_id") -> DataFrame:
-    return df.orderBy(F.col(column).desc(), id_col).limit(n)
-
-
-def top_models(ranked: DataFrame, within: Sequence[str], n: int) -> DataFrame:
-    return top_per_group(ranked, within, [F.col("macro_f1_mean").desc(), F.col("macro_f1_std"), F.col("model_id")], n, "place")

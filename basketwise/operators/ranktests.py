@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,29 +24,23 @@ def average_ranks(ranks: DataFrame) -> DataFrame:
     return ranks.groupBy("model_id").agg(F.avg("rank").alias("average_rank"), F.count(F.lit(1)).alias("n_folds"))
 
 
-def _shape(ranks: DataFrame) -> tuple[int, int]:
-    row = ranks.agg(F.count_distinct("model_id").alias("k"), F.count_distinct("fold_id").alias("n")).first()
-    return row["k"], row["n"]
-
-
 def friedman(ranks: DataFrame) -> DataFrame:
     """Statistic with tie correction and p-value; ``insufficient_data`` below 3 models or 2 folds."""
-    k, n = _shape(ranks)
-    if k < 3 or n < 2:
-        return ranks.sparkSession.createDataFrame(
-            [("insufficient_data", k, n, None, None)],
-            "status string, n_models bigint, n_folds bigint, statistic double, p_value double")
-    per_model = ranks.groupBy("model_id").agg(F.sum("rank").alias("r"), F.sum(F.col("tied") * F.col("tied") - 1).alias("t"))
-    raw = 12.0 / (n * k * (k + 1)) * F.sum(F.col("r") * F.col("r")) - 3.0 * n * (k + 1)
-    correction = 1.0 - F.sum("t") / F.lit(float(n * k * (k * k - 1)))
-    stat = per_model.agg((raw / correction).alias("statistic"))
-    return stat.select(
-        F.lit("ok").alias("status"), F.lit(k).cast("bigint").alias("n_models"), F.lit(n).cast("bigint").alias("n_folds"),
-        "statistic", chi2_sf(F.col("statistic"), k - 1).alias("p_value"))
+    per_model = ranks.groupBy("model_id").agg(
+        F.sum("rank").alias("r"), F.sum(F.col("tied") * F.col("tied") - 1).alias("t"), F.count(F.lit(1)).alias("n"))
+    sums = per_model.agg(F.count(F.lit(1)).alias("n_models"), F.coalesce(F.max("n"), F.lit(0)).cast("bigint").alias("n_folds"),
+                         F.sum(F.col("r") * F.col("r")).alias("squares"), F.sum("t").alias("t"))
+    k, n = F.col("n_models").cast("double"), F.col("n_folds").cast("double")
+    enough = (F.col("n_models") >= 3) & (F.col("n_folds") >= 2)
+    raw = 12.0 / (n * k * (k + 1)) * F.col("squares") - 3.0 * n * (k + 1)
+    tested = sums.withColumn("statistic", F.when(enough, raw / (1.0 - F.col("t") / (n * k * (k * k - 1)))))
+    return tested.select(
+        F.when(enough, "ok").otherwise("insufficient_data").alias("status"), "n_models", "n_folds", "statistic",
+        F.when(enough, chi2_sf(F.col("statistic"), (F.col("n_models") - 1).cast("int"))).alias("p_value"))
 
 
-def critical_difference(k: int, n: int) -> float:
-    return nemenyi_q(k) * math.sqrt(k * (k + 1) / (6.0 * n))
+def critical_difference(k: Column, n: Column) -> Column:
+    return nemenyi_q(k) * F.sqrt(k * (k + 1) / (6.0 * n))
 
 
 def _pairs(df: DataFrame, column: str, within: list[str]) -> DataFrame:
@@ -66,16 +58,17 @@ def _pairs(df: DataFrame, column: str, within: list[str]) -> DataFrame:
 
 def nemenyi(ranks: DataFrame) -> DataFrame:
     """Every model pair with its rank difference, the critical difference and a flag."""
-    k, n = _shape(ranks)
-    cd = critical_difference(k, n)
-    pairs = _pairs(average_ranks(ranks), "average_rank", [])
-    gap = F.abs(F.col("value_a") - F.col("value_b"))
-    return pairs.select("model_a", "model_b", gap.alias("rank_diff"), F.lit(cd).alias("critical_difference"),
+    means = average_ranks(ranks)
+    shape = means.agg(F.count(F.lit(1)).alias("k"), F.max("n_folds").alias("n"))
+    pairs = _pairs(means, "average_rank", []).join(F.broadcast(shape))  # one row
+    gap, cd = F.abs(F.col("value_a") - F.col("value_b")), critical_difference(F.col("k"), F.col("n"))
+    return pairs.select("model_a", "model_b", gap.alias("rank_diff"), cd.alias("critical_difference"),
                         (gap > cd).alias("significant"))
 
 
-def wilcoxon(folds: DataFrame, score: str = "macro_f1") -> DataFrame:
-    """Signed-rank test per model pair: zeros dropped, exact p up to 50 folds, normal beyond.
+def wilcoxon(folds: DataFrame, score: str = "macro_f1", method: str = "auto") -> DataFrame:
+    """Signed-rank test per model pair, zeros dropped. ``method``: ``exact``, ``normal``, or ``auto``, which is exact up
+    to 50 folds.
 
     The exact null distribution is counted by a subset-sum fold over the (doubled) ranks, so ties are
     exact too.
@@ -96,9 +89,12 @@ def wilcoxon(folds: DataFrame, score: str = "macro_f1") -> DataFrame:
         # one entry per fold
         F.collect_list((F.col("r") * 2).cast("int")).alias("doubled"),
     )
+    if method not in ("auto", "exact", "normal"):
+        raise ValueError(f"unknown method {method}")
     w = F.least("w_plus", "w_minus")
+    exact = F.col("n") <= EXACT_UP_TO if method == "auto" else F.lit(method == "exact")
     tested = summed.withColumn("statistic", w).withColumn("p_value", F.when(
-        F.col("n") <= EXACT_UP_TO, _exact_p(F.col("doubled"), F.col("statistic"), F.col("n"))
+        exact, _exact_p(F.col("doubled"), F.col("statistic"), F.col("n"))
     ).otherwise(_normal_p(F.col("statistic"), F.col("n"), F.col("ties"))))
     everyone = diffs.select(*pair).distinct()
     return everyone.join(tested.select(*pair, "n", "statistic", "p_value"), pair, "left").select(

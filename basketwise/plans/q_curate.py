@@ -369,8 +369,13 @@ def parse_timestamps(spark, sf):
 SELECT user_id, count(*) AS n_rows, count(*) FILTER (WHERE value >= 20) AS n_candidates, bool_and(value < 20) AS all_below
 FROM p GROUP BY user_id""")
 def listing_filter(spark, sf):
-    """List pages (one per user): rows above the threshold and pages that lie wholly below it."""
-    value = F.col("value")
-    return t.table(spark, sf, "events").groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(value >= 20).alias("n_candidates"),
-        F.bool_and(value < 20).alias("all_below"))
+    """List pages of every user: rows above the threshold, and whether all pages lie wholly below it."""
+    page = F.floor(F.col("event_id") / 1000)
+    row = F.struct(F.col("event_id").cast("string").alias("id"), F.floor("value").cast("bigint").alias("viewCount"))
+    pages = t.table(spark, sf, "events").groupBy(F.col("user_id").alias("bracket"), page.alias("page")).agg(
+        F.struct(F.collect_list(row).alias("results")).alias("response"))
+    found = selection.listing_candidates(pages, 20).groupBy("bracket").agg(F.count(F.lit(1)).alias("n_candidates"))
+    whole = pages.select("bracket", F.size("response.results").alias("n")).groupBy("bracket").agg(F.sum("n").alias("n_rows"))
+    below = selection.pages_below(pages, 20).groupBy("bracket").agg(F.bool_and("all_below").alias("all_below"))
+    return whole.join(below, "bracket").join(found, "bracket", "left").select(
+        F.col("bracket").alias("user_id"), "n_rows", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), "all_below")

@@ -10,6 +10,7 @@ from basketwise.operators import agreement, ensemble, features, folds, interpret
 from basketwise.plans import tables as t
 from basketwise.plans.q_features import base_features, feats_cte
 from basketwise.plans.registry import Registry, rounded
+from basketwise.session import materialize
 
 R = Registry()
 
@@ -28,8 +29,8 @@ SCORED = f"{t.PREDS}, {PC}"
 
 
 def fold_table(spark, sf):
-    """Fold scores with the model's representation and algorithm."""
-    scored = metrics.fold_scores(t.predictions(spark, sf))
+    """Fold scores with the model's representation and algorithm, stored: one row per model and fold, used many times."""
+    scored = materialize(metrics.fold_scores(t.predictions(spark, sf)), "fold-scores")
     pattern = "^(df|bc)_(.*)$"
     return scored.withColumn("representation", F.regexp_extract("model_id", pattern, 1)).withColumn(
         "algorithm", F.regexp_extract("model_id", pattern, 2))
@@ -123,8 +124,9 @@ SELECT p.representation, algorithm, p.representation || '_' || algorithm AS mode
 def selected_union(spark, sf):
     """The union of both selections, planned for both representations."""
     chosen = metrics.selected_union(spot_rank(spark, sf))
-    side = F.explode(F.array(F.lit("df"), F.lit("bc")))
-    return chosen.withColumn("representation", side).withColumn("model_id", F.concat_ws("_", "representation", "algorithm"))
+    everything = metrics.model_plan(spark, ["df", "bc"], [m.split("_")[1] for m in t.MODELS])
+    return everything.join(F.broadcast(chosen), "algorithm", "left_semi").distinct().select(  # one row per algorithm
+        "representation", "algorithm", "model_id")
 
 
 @R.query("best_min_df", f"""WITH {SPOT} SELECT min_df, round(avg(m), 6) AS mean_score FROM ss GROUP BY min_df ORDER BY avg(m) DESC, min_df LIMIT 1""")
@@ -422,7 +424,7 @@ def gain_vs_single(spark, sf):
 @R.query("group_gap", f"""WITH {SCORED}, g AS (SELECT group_id, count(*) AS n FROM base GROUP BY ALL),
 p AS (SELECT *, row_number() OVER (ORDER BY n DESC, md5(concat_ws(':', '0', group_id)), group_id) - 1 AS pos FROM g),
 gf AS (SELECT group_id, CASE WHEN (pos // 5) % 2 = 0 THEN pos % 5 ELSE 4 - pos % 5 END + 1 AS fold FROM p),
-gp AS (SELECT model_id, gf.fold, y_true, y_pred FROM preds JOIN gf USING (group_id) WHERE repeat_seed = 1),
+gp AS (SELECT model_id, repeat_seed * 10 + gf.fold AS fold, y_true, y_pred FROM preds JOIN gf USING (group_id)),
 gc AS (SELECT model_id, fold, label, count(*) FILTER (WHERE y_true = label AND y_pred = label) AS tp, count(*) FILTER (WHERE y_true = label) + count(*) FILTER (WHERE y_pred = label) AS sp
   FROM gp, (SELECT CAST(unnest([2,3,4]) AS BIGINT) AS label) GROUP BY ALL),
 gm AS (SELECT model_id, avg(f1) AS m FROM (SELECT model_id, fold, avg(CASE WHEN sp > 0 THEN 2 * tp / sp ELSE 0 END) AS f1 FROM gc GROUP BY ALL) GROUP BY ALL)
@@ -431,8 +433,8 @@ def group_gap(spark, sf):
     """Stratified against group-wise fold means of the same predictions."""
     preds = t.predictions(spark, sf)
     group = folds.group_folds(t.modelling_base(spark, sf), "group_id", 5).select("group_id", F.col("fold").cast("string").alias("fold_id"))
-    regrouped = preds.filter(F.col("repeat_seed") == 1).drop("fold_id")
-    regrouped = join_to_rows(regrouped, group, ["group_id"], F.col("entity_id"))
+    regrouped = join_to_rows(preds.drop("fold_id"), group, ["group_id"], F.col("entity_id")).withColumn(
+        "fold_id", F.concat_ws("_", "repeat_seed", "fold_id"))
     return rounded(metrics.generalisation_gap(
         metrics.mean_std(metrics.fold_scores(preds), ["model_id"]),
         metrics.mean_std(metrics.fold_scores(regrouped), ["model_id"])))
@@ -580,9 +582,15 @@ def first_n_lines(spark, sf):
         "entity_id", "line_id", "item_id", "quantity", "name", "line_rank")
 
 
-@R.query("entity_order", f"WITH {t.BASE} SELECT entity_id, views FROM base ORDER BY views DESC, entity_id LIMIT 500")
+@R.query("entity_order", f"WITH {t.BASE} SELECT entity_id, views FROM base ORDER BY views DESC, entity_id")
 def entity_order(spark, sf):
-    """The head of the display order: most viewed first."""
+    """The display order, most viewed first, of every entity."""
+    return selection.capped(t.modelling_base(spark, sf).select("entity_id", "views"), [F.col("views").desc(), F.col("entity_id")], None)
+
+
+@R.query("entity_queue", f"WITH {t.BASE} SELECT entity_id, views FROM base ORDER BY views DESC, entity_id LIMIT 500")
+def entity_queue(spark, sf):
+    """The rows that one capped run takes from the head of the order."""
     return selection.capped(t.modelling_base(spark, sf).select("entity_id", "views"), [F.col("views").desc(), F.col("entity_id")], 500)
 
 

@@ -109,3 +109,12 @@ def test_tails(spark):
         assert p == pytest.approx(0.5 * math.erfc(x / math.sqrt(2)), rel=1e-9)
     got = spark.range(1).select(dist.chi2_sf(F.lit(158.83589743589744), 11), dist.chi2_sf(F.lit(3.0), 2)).first()
     assert got[0] == pytest.approx(2.3173653163241833e-28, rel=1e-6) and got[1] == pytest.approx(math.exp(-1.5))
+    one = spark.range(1).select(dist.chi2_sf(F.lit(1.0), 1), dist.chi2_sf(F.lit(2.0), 3)).first()
+    assert one[0] == pytest.approx(0.31731050786291415) and one[1] == pytest.approx(0.5724067044708798)
+
+
+def test_studentized_range(spark):
+    for k, q in dist.NEMENYI_Q_05.items():
+        assert dist.studentized_range_q(k) == pytest.approx(q, abs=1e-3)
+    got = spark.createDataFrame([(1,), (2,), (16,), (40,), (201,)], "k long").select(dist.nemenyi_q(F.col("k"))).collect()
+    assert got[0][0] is None and got[1][0] == 1.96 and got[2][0] == pytest.approx(3.426, abs=2e-3) and got[3][0] > 3.8 and got[4][0] is None
