@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from basketwise.functions import sets
 from basketwise.functions.coerce import finite, weighted_mean, weighted_pop_std
 from basketwise.operators.curate import is_basic
+from basketwise.session import materialize
 
 # Keywords and layouts that get a column of their own, price vendors by preference.
 TRACKED_KEYWORDS = (
@@ -321,14 +322,21 @@ def detail_features(detailed: DataFrame, entity: str = "entity_id",
 def basket_features(entities: DataFrame, lines: DataFrame, items: DataFrame, detail: DataFrame | None = None,
                     groups: Sequence[str] | None = None, entity: str = "entity_id",
                     spec: FeatureSpec = FeatureSpec(), carry: Sequence[str] = (),
-                    bag: DataFrame | None = None) -> DataFrame:
+                    bag: DataFrame | None = None, store: bool = False) -> DataFrame:
     """Feature table: one row per entity, also for empty baskets (counts 0, statistics NULL).
 
+    With ``store`` the lines with their detail and the bag with its item measures are written once to the shared folder;
+    sums, medians, tags and prices then read those instead of scanning and joining again.
+
     ``groups`` limits the work to some feature groups. Pass the stored ``bag`` (see
     :func:`bag_long`) to avoid a second pass over the lines.
     """
     by_group = feature_groups(spec)
     wanted = [c for g in (groups or by_group) for c in by_group[g]]
+    detailed = join_detail(lines, detail, entity) if detail is not None else None
+    if store and detailed is not None:
+        detailed = materialize(detailed, "detailed-lines")
+        lines = detailed
     bag = bag if bag is not None else bag_long(lines, entity)
     measures = item_measures(items, spec)
     out = entities.select(entity, *carry)
@@ -339,6 +347,9 @@ def basket_features(entities: DataFrame, lines: DataFrame, items: DataFrame, det
     medians = [f"{p}_median" for p in _STATISTICS if f"{p}_median" in wanted]
     from_items = [c for c in wanted if c not in tag_names | detail_names and c not in medians]
     bag_items = attach_items(bag, measures)
+    if store:
+        bag_items = materialize(bag_items, "bag-items")
+        bag = bag_items.select(*bag.columns)
     if from_items:
         out = out.join(item_features(bag_items, entity, spec).select(entity, *from_items), entity, "left")
     if medians:
@@ -348,7 +359,7 @@ def basket_features(entities: DataFrame, lines: DataFrame, items: DataFrame, det
         out = out.join(tag_features(bag, measures, entity).select(entity, *from_tags), entity, "left")
     from_detail = [c for c in wanted if c in detail_names]
     if from_detail and detail is not None:
-        part = detail_features(join_detail(lines, detail, entity), entity, spec)
+        part = detail_features(detailed, entity, spec)
         out = out.join(part.select(entity, *from_detail), entity, "left")
     return out.select(entity, *carry, *[_or_empty(c, by_group, out.columns) for c in wanted])
 

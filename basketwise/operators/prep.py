@@ -11,14 +11,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketwise.functions.coerce import as_double, as_long, finite
 from basketwise.functions.quantiles import column_quantiles
-from basketwise.functions.ranking import spread_rank
 from basketwise.functions.skew import join_group_values
+from basketwise.session import materialize
 
 # Columns that must never become features, and prefixes of leaking ones.
 DENY_COLUMNS = (
@@ -124,14 +124,12 @@ class DensePreprocessor(Estimator, _DenseParams, DefaultParamsReadable, DefaultP
         prefixes = tuple(self.getOrDefault(self.imputePrefixes))
         imputed = [c for c in columns if prefixes and c.startswith(prefixes)]
         cap_column = self.getOrDefault(self.capColumn)
-        fill = {c: 0.0 for c in imputed}
-        if imputed:
-            for r in column_quantiles(numbers, imputed, [0.5]).collect():  # one row per imputed column
-                fill[r["column"]] = r["quantile"]
-        cap = None
-        if cap_column in columns:
-            top = column_quantiles(numbers, [cap_column], [self.getOrDefault(self.capProbability)]).first()
-            cap = top["quantile"] if top else None
+        fill, cap, top = {c: 0.0 for c in imputed}, None, self.getOrDefault(self.capProbability)
+        capped = [cap_column] if cap_column in columns else []
+        if imputed or capped:
+            found = column_quantiles(numbers, list(dict.fromkeys([*imputed, *capped])), [0.5, top]).collect()  # two rows a column
+            fill |= {r["column"]: r["quantile"] for r in found if r["column"] in fill and r["prob"] == 0.5}
+            cap = next((r["quantile"] for r in found if r["column"] in capped and r["prob"] == top), None)
         state = {"columns": columns, "fill": fill, "cap_column": cap_column, "cap": cap}
         cleaned = numbers.select(*clean_columns(state))
         aggs = []
@@ -198,17 +196,24 @@ class DensePreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritable
 def vocabulary(bag: DataFrame, min_df: int, item: str = "item_id", quantity: str = "quantity") -> DataFrame:
     """``(item, df, idx)`` of items held by at least ``min_df`` entities, indexed in sorted order.
 
-    ``bag`` has one row per (entity, item), so document frequency is a plain count. Sorted positions
-    come from byte-prefix slices, not from one global sort.
+    ``bag`` has one row per (entity, item), so document frequency is a plain count. Items are sorted as text in range
+    partitions, stored once; a position is the place in the partition plus the sizes of the partitions before
+    (one row each), so ids that share a long prefix spread like any others.
     """
     if min_df < 1:
         raise ValueError("min_df must be at least 1")
     counted = bag.filter(F.col(quantity) > 0).groupBy(item).agg(F.count(F.lit(1)).alias("df")) \
         .filter(F.col("df") >= min_df)
-    # sorted as text (byte order); ids of other types sort by their text form
-    hexed = counted.withColumn("__hex", F.hex(F.encode(F.col(item).cast("string"), "UTF-8")))
-    ranked = spread_rank(hexed, [], "__hex", out="__rank", prefix_chars=6)
-    return ranked.select(item, "df", (F.col("__rank") - 1).alias("idx"))
+    text = F.col(item).cast("string")
+    sorted_items = materialize(
+        counted.repartitionByRange(text).sortWithinPartitions(text).withColumn("__at", F.monotonically_increasing_id()),
+        "vocabulary")
+    placed = sorted_items.withColumn("__part", F.shiftright("__at", 33)).withColumn(
+        "__row", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select(
+        "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(offsets), "__part").select(item, "df", (F.col("__before") + F.col("__row")).alias("idx"))
 
 
 def vectorize_long(bag: DataFrame, vocab: DataFrame, entity: str = "entity_id", item: str = "item_id",

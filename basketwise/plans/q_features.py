@@ -213,7 +213,7 @@ def wide_features(spark, sf, groups=None):
     """All feature groups with labels and metadata; shared by the analysis queries."""
     return features.basket_features(
         t.entities(spark, sf), t.lines(spark, sf), t.items(spark, sf), t.detail(spark, sf), groups,
-        spec=t.SPEC, carry=CARRY,
+        spec=t.SPEC, carry=CARRY, store=groups is None,
     )
 
 

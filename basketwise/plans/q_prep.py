@@ -31,7 +31,7 @@ KEPT = [c for c in DENSE if c != "has_companion"]
 def dense_split(spark, sf):
     """Features of the base, stored once, with a stratified 20 % test flag."""
     stored = materialize(base_features(spark, sf, GROUPS).select("entity_id", "y1", *DENSE), "dense")
-    return folds.holdout(stored, "entity_id", "y1", 0.2, seed=11)
+    return materialize(folds.holdout(stored, "entity_id", "y1", 0.2, seed=11), "dense-split")
 
 
 def _prepared(spark, sf, scale: bool):

@@ -109,3 +109,13 @@ def test_unknown_weights_and_class_weights(spark):
     got = dict(rows(prep.class_weights(df, "y"), "y", "weight"))
     assert got == {2: pytest.approx(4 / 6), 3: 2.0}
     assert math.isclose(sum(r["weight"] for r in prep.with_class_weight(df, "y").collect()), 4.0)
+
+
+def test_vocabulary_of_ids_with_one_prefix(spark):
+    from basketwise.operators import prep
+
+    bag = spark.range(100_000).selectExpr("id % 2 as entity_id", "concat('a-long-shared-prefix-', id div 2) as item_id", "1 as quantity")
+    words = prep.vocabulary(bag, 2)
+    got = [r["item_id"] for r in words.orderBy("idx").collect()]
+    assert got == sorted(got) and len(got) == 50_000
+    assert words.agg({"idx": "min"}).first()[0] == 0 and words.agg({"idx": "max"}).first()[0] == 49_999
