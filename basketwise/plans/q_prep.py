@@ -197,3 +197,28 @@ def knn_exact(spark, sf):
     found = materialize(neighbours.knn(points, points, 5), "knn")
     nearest = found.filter(F.col("rank") == 1).select("query_id", F.round("distance", 6).alias("nearest"))
     return neighbours.knn_vote(found).join(nearest, "query_id").withColumnRenamed("query_id", "vec_id")
+
+
+KNN_SQL = """WITH d AS (SELECT a.vec_id AS q, b.vec_id AS id, b.label, {distance} AS dist FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, id) AS rk FROM d) WHERE rk <= {k}),
+v AS (SELECT q, label, round(sum({weight}), 9) AS votes FROM top GROUP BY ALL)
+SELECT q AS vec_id, CAST(label AS BIGINT) AS prediction FROM v QUALIFY row_number() OVER (PARTITION BY q ORDER BY votes DESC, label) = 1"""
+MANHATTAN = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE)))"
+
+
+def _knn_labels(spark, sf, k: int, p: int, weights: str):
+    points = t.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return neighbours.knn_vote(neighbours.knn(points, points, k, p), weights).withColumnRenamed("query_id", "vec_id")
+
+
+@R.query("knn_manhattan", KNN_SQL.format(distance=MANHATTAN, k=7, weight="1.0"))
+def knn_manhattan(spark, sf):
+    """Leave-one-out labels from the 7 nearest by absolute differences."""
+    return _knn_labels(spark, sf, 7, 1, "uniform")
+
+
+@R.query("knn_weighted", KNN_SQL.format(distance="list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])", k=11,
+                                        weight="1.0 / greatest(dist, 1e-12)"))
+def knn_weighted(spark, sf):
+    """Leave-one-out labels from the 11 nearest, votes weighted by inverse distance."""
+    return _knn_labels(spark, sf, 11, 2, "distance")
