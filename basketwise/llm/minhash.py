@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketwise.llm import sketch
 from basketwise.llm.components import connected_components
 from basketwise.llm.tables import id_text, materialize
 from basketwise.llm.words import BASES, U64, column_words, mix, windows
@@ -22,7 +23,8 @@ class NearDupSpec:
 
     ``bands`` x ``rows`` hash minima: a pair at similarity 0.8 shares no band with probability
     (1 - 0.8**rows)**bands, 1.3e-7 for the defaults. ``sketch_floor`` is the share of equal minima (one byte
-    each) under which a pair is not verified; 0.63 lies six deviations below 0.8.
+    each) under which a pair is not verified; 0.63 lies six deviations below 0.8. ``ranked`` bounds the list of
+    frequent shingles that the exact second pass broadcasts.
     """
 
     shingle: int = 5
@@ -30,6 +32,7 @@ class NearDupSpec:
     bands: int = 40
     rows: int = 5
     sketch_floor: float = 0.63
+    ranked: int = 1 << 18
     seed: int = 11
 
 
@@ -138,12 +141,18 @@ def _with_sketch_match(pairs: DataFrame, reps: DataFrame, spec: NearDupSpec) ->
     return both.select(*names, "su", "sv").mapInArrow(run, f"{kinds}, share double")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, spec: NearDupSpec) -> DataFrame:
-    """Pairs (u, v) whose full shingle sets are similar enough. Sets are made only for documents in a pair."""
-    wanted = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
+def _sets(docs: DataFrame, wanted: DataFrame, spec: NearDupSpec, label: str) -> DataFrame:
+    """``doc_id, elements`` (sorted shingle hashes) of the documents whose id is in ``wanted``.
+
+    A filter of fixed size keeps most other texts from being cut up, so texts are never shuffled; the few that pass
+    it by chance fall out in the joins that follow.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(sketch.id_filter(wanted))
 
     def as_sets(batches):
         for batch in batches:
+            known = batch.filter(batch.column(0).is_valid())
+            batch = known.filter(pa.array(sketch.maybe(sketch.id_hashes(known.column(0)), bits.value, sketch.SketchSpec())))
             names = batch.column(0).to_pylist()
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
@@ -152,7 +161,55 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, spec: NearDupSpec) -> DataFram
                     [pa.array([names[first + r] for r, _ in rows], pa.int64()),
                      pa.array([s.tobytes() for _, s in rows], pa.binary())], names=["doc_id", "elements"])
 
-    sets = id_text(docs).join(wanted, "doc_id", "left_semi").mapInArrow(as_sets, "doc_id long, elements binary")
+    return materialize(id_text(docs).mapInArrow(as_sets, "doc_id long, elements binary"), label)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
+
+
+def _prefixes(sets: DataFrame, spec: NearDupSpec) -> DataFrame:
+    """``u, element, pos, size``: the first shingles of every set in one common order, the rarest first.
+
+    A pair with the wanted similarity shares at least ``percent`` of the larger set, so the first element that both
+    sets have lies among these. Any fixed order is right; the more frequent an element, the later it should come,
+    so the ``ranked`` most frequent ones (a fixed number, which bounds the broadcast) go last.
+    """
+
+    def elements(batches):
+        for batch in batches:
+            for e in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(e.as_buffer(), dtype=np.int64))], names=["element"])
+
+    counts = (sets.select("elements").mapInArrow(elements, "element long").groupBy("element")
+              .agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n"), "element").limit(spec.ranked).toArrow())
+    known = counts.column("element").to_numpy()
+    at = np.argsort(known)
+    shared = sets.sparkSession.sparkContext.broadcast((known[at], counts.column("n").to_numpy()[at]))
+
+    def first(batches):
+        known, often = shared.value
+        for batch in batches:
+            ids, found, places, sizes = [], [], [], []
+            for u, e in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(e.as_buffer(), dtype=np.int64)
+                spot = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+                count = np.where(known[spot] == own, often[spot], 0) if len(known) else np.zeros(len(own), np.int64)
+                keep = len(own) + (-spec.percent * len(own)) // 100 + 1
+                found.append(own[np.lexsort((own, count))[:keep]])
+                ids.append(np.full(len(found[-1]), u))
+                places.append(np.arange(len(found[-1])))
+                sizes.append(np.full(len(found[-1]), len(own)))
+            if ids:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c).astype(np.int64)) for c in (ids, found, places, sizes)],
+                    names=["u", "element", "pos", "size"])
+
+    return sets.select("doc_id", "elements").mapInArrow(first, "u long, element long, pos long, size long")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, spec: NearDupSpec) -> DataFrame:
+    """Pairs (u, v) whose full shingle sets are similar enough."""
 
     def similar(batches):
         for batch in batches:
@@ -165,7 +222,6 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, spec: NearDupSpec) -> DataFram
                 keep.append(100 * both >= spec.percent * (len(p) + len(q) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = materialize(sets, "sets")
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("elements").alias(f"e{c}"))
     return (pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v").select("u", "v", "eu", "ev")
             .mapInArrow(similar, "u long, v long"))
@@ -180,11 +236,11 @@ def near_duplicates(docs: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataF
     are ignored; an empty table gives no rows.
 
     Plan: (1) documents with equal sets form a class, its smallest id stands for it, so copies cost one grouped
-    minimum; (2) in each band bucket all members are paired with the smallest one only, pairs are checked
-    on the one-byte sketches and the best pair of every member on full sets, and components are formed;
-    (3) pairs in a bucket that are still in different components are then paired with each other, checked
-    the same way, and components are formed again. A pair inside one component cannot change the
-    result, so no link that matters is skipped and no bucket is capped.
+    minimum; (2) in each band bucket every member is paired with one pivot only, the member that meets most others;
+    pairs are checked on the one-byte sketches, the best pair of every member on full sets, and components are
+    formed; (3) for documents in buckets that still hold several components, an exact prefix join finds the pairs
+    across components whose rarest shingles leave room for the similarity, checked the same way. A pair inside one
+    component cannot change the result, so no link that matters is skipped and no bucket is capped.
     """
     sig = materialize(signatures(docs, spec), "signatures")
     known = sig.filter("doc_id is not null and n_shingles > 0")
@@ -193,35 +249,37 @@ def near_duplicates(docs: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataF
         known.join(classes.withColumnRenamed("rep", "doc_id"), ["set_a", "set_b", "doc_id"], "left_semi")
         .dropDuplicates(["doc_id"]).drop("set_a", "set_b"), "reps")
     keys = reps.select("doc_id", F.explode("bands").alias("band"))
-    heads = keys.groupBy("band").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = materialize(keys.join(heads.drop("n"), "band").select("band", F.col("doc_id").alias("u"), "v"), "buckets")
+    shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = materialize(keys.join(shared, "band").select("band", F.col("doc_id").alias("u"), "n"), "met")
+    wide = met.join(met.groupBy("u").agg(F.sum("n").alias("meets")), "u")
+    pivots = wide.groupBy("band").agg(F.max(F.struct("meets", (-F.col("u")).alias("minus"))).alias("top")).select(
+        "band", (-F.col("top.minus")).alias("v"))
+    buckets = materialize(met.join(pivots, "band").select("band", "u", "v", "n"), "buckets")
     stars = materialize(
         _with_sketch_match(buckets.filter("u <> v").select("u", "v").distinct(), reps, spec), "stars")
     best = stars.groupBy("u").agg(F.max("share").alias("share"))
-    first = stars.join(best, ["u", "share"]).groupBy("u").agg(F.min("v").alias("v"))
-    first = materialize(first, "first")
-    linked = materialize(_confirmed(first, docs, spec), "links")
+    first = materialize(stars.join(best, ["u", "share"]).groupBy("u").agg(F.min("v").alias("v")), "first")
+    linked = materialize(_confirmed(first, _sets(docs, _ends(first), spec, "sets"), spec), "links")
     so_far = materialize(connected_components(linked), "components")
 
     here = buckets.join(so_far.select(F.col("vertex").alias("u"), "component"), "u", "left").select(
-        "band", "u", "v", F.coalesce("component", "u").alias("c"))
-    mixed = here.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"),
-                                     F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("band", "n")
-    rest = materialize(here.join(mixed, "band"), "mixed")
-    left, right = (rest.select("band", "n", *(F.col(c).alias(c + s) for c in ("u", "v", "c"))) for s in "12")
-    crossed = left.filter("n > 2").join(right.drop("n"), "band").filter(
-        "c1 <> c2 and u1 > u2 and u2 <> v1").select(F.col("u1").alias("u"), F.col("u2").alias("v"))
-    with_head = rest.filter("u <> v").select("u", "v").distinct().join(stars.select("u", "v"), ["u", "v"], "left_semi")
-    head_of = so_far.select(F.col("vertex").alias("v"), F.col("component").alias("cv"))
-    own_of = so_far.select(F.col("vertex").alias("u"), F.col("component").alias("cu"))
-    with_head = (with_head.join(first, ["u", "v"], "left_anti").join(own_of, "u", "left").join(head_of, "v", "left")
-                 .filter("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v"))
-    more = materialize(
-        _with_sketch_match(crossed.distinct(), reps, spec).select("u", "v").unionByName(with_head).distinct(), "more")
-    if more.isEmpty():
-        final = so_far
-    else:
-        again = materialize(_confirmed(more, docs, spec), "links")
+        "band", "u", "v", "n", F.coalesce("component", "u").alias("c"))
+    mixed = here.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("band")
+    open_ids = materialize(here.join(mixed, "band").select("u", "c").distinct(), "mixed")
+    sets = _sets(docs, open_ids.select(F.col("u").alias("doc_id")), spec, "sets")
+    entries = _prefixes(sets, spec).join(open_ids, "u")
+    split = entries.groupBy("element").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("element")
+    entries = materialize(entries.join(split, "element"), "prefixes")
+    # |A & B| is at most what either set has from the shared element on; the similarity needs p / (1 + p) * (|A| + |B|)
+    left, right = (entries.select("element", *(F.col(c).alias(c + s) for c in ("u", "c", "size", "pos"))) for s in "12")
+    crossed = left.join(right, "element").filter(F.expr(
+        f"u1 > u2 and c1 <> c2 and (100 + {spec.percent}) * least(size1 - pos1, size2 - pos2) >= {spec.percent} * (size1 + size2)")) \
+        .select(F.col("u1").alias("u"), F.col("u2").alias("v")).distinct()
+    tried = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    more = materialize(_with_sketch_match(crossed.join(tried, ["u", "v"], "left_anti"), reps, spec).select("u", "v"), "more")
+    again = materialize(_confirmed(more, sets, spec), "links")
+    final = so_far
+    if not again.isEmpty():
         final = connected_components(again.unionByName(
             so_far.filter("vertex <> component").select(F.col("vertex").alias("u"), F.col("component").alias("v"))))
     member = (classes.join(final.select(F.col("vertex").alias("rep"), "component"), "rep", "left")
@@ -233,6 +291,14 @@ def near_duplicates(docs: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataF
 
 
 def keep_first(docs: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id; all columns stay."""
-    gone = near_duplicates(docs, spec).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["__gone"], "left_anti")
+    """``docs`` without the documents whose component has a smaller doc_id; all columns stay.
+
+    A filter of fixed size lets the texts of documents that surely stay pass by; only the others meet the list
+    of ids in a join, so a text is shuffled only where it may go.
+    """
+    gone = materialize(near_duplicates(docs, spec).filter("not kept").select("doc_id").distinct(), "gone")
+    ids = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    bits, at = sketch.id_filter(gone), docs.columns.index("doc_id")
+    unsure = sketch.rows_maybe_in(ids, at, bits).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    sure = sketch.rows_maybe_in(ids, at, bits, wanted=False)
+    return sure.unionByName(unsure).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
