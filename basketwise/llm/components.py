@@ -12,8 +12,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every vertex hands its larger neighbours to the smallest of its neighbours and itself."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return (both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .filter("u <> v").distinct())
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -41,7 +40,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
     state = _state(now)
     while state[0]:
-        now = materialize(_small_star(_large_star(now)), "star")
+        now = materialize(_small_star(materialize(_large_star(now), "star")), "star")
         new = _state(now)
         if new == state:
             break
