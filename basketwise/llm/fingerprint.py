@@ -91,9 +91,10 @@ def compare_with_edit(docs: DataFrame, rows_per_slice: int = 1000) -> DataFrame:
     """
     order = Window.partitionBy("slice").orderBy("guest", "doc_id", "text")
     known = F.col("doc_id").isNotNull()
-    rows = with_next(docs, rows_per_slice).withColumn("leaf", leaves(F.col("text")))
-    rows = rows.withColumns({"next_text": F.when(known, F.lead("text").over(order)),
-                             "next_leaf": F.when(known, F.lead("leaf").over(order))}).filter("not guest")
+    # texts meet in the first window; leaves are made behind its shuffle and reuse its order in the second
+    rows = with_next(docs, rows_per_slice).withColumn("next_text", F.when(known, F.lead("text").over(order)))
+    rows = rows.withColumn("leaf", leaves(F.col("text"))).withColumn(
+        "next_leaf", F.when(known, F.lead("leaf").over(order))).filter("not guest")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - half),
