@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,11 +46,11 @@ class WordIds(dict):
 
     LETTERS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-&(-/:-@\\[-`{-~]*)")
 
-    def __init__(self, path: str, remember: int = 800_000) -> None:
+    def __init__(self, path: str, remember: int = 200_000) -> None:
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.remember, self.units = remember, {}
+        self.remember, self.marks = remember, {}
         shape = str(self.tokenizer.normalizer) + str(self.tokenizer.pre_tokenizer)
         self.plain = all(x in shape for x in ("Lowercase()", r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "ByteLevel("))
         # the byte-level alphabet: visible bytes stand for themselves, the rest follow from 256 on
@@ -57,30 +58,32 @@ class WordIds(dict):
         rest = [b for b in range(256) if b not in seen]
         self.alphabet = {**{b: chr(b) for b in seen}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
 
-    def _unit(self, text: str, letters: bool) -> bytes:
-        if letters:
-            own = [t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.alphabet))]
-        else:
-            own = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(own, dtype="<u4").tobytes()
-
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
         found = self.LETTERS.fullmatch(text) if self.plain else None
-        parts = ((found[1].lower(), True), (found[2], False)) if found else ((text, False),)
-        ids = b""
-        for key in parts:
-            if key[0]:
-                if key not in self.units:
-                    self.units[key] = self._unit(*key)
-                ids += self.units[key]
+        if found is None:
+            own = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(own)}I", *own)
+        else:
+            letters, marks = found[1].lower(), found[2]
+            if letters == text:  # one unit: straight to the merge table
+                spelled = text if text.isascii() else word.decode("latin-1").translate(self.alphabet)
+                own = [t.id for t in self.tokenizer.model.tokenize(spelled)]
+                ids = struct.pack(f"<{len(own)}I", *own)
+            else:
+                ids = self[letters.encode()]
+                if marks:
+                    if marks not in self.marks:
+                        own = self.tokenizer.encode(marks, add_special_tokens=False).ids
+                        self.marks[marks] = struct.pack(f"<{len(own)}I", *own)
+                    ids += self.marks[marks]
         self[word] = ids
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
         if len(self) > self.remember:
             self.clear()
-            self.units.clear()
+            self.marks.clear()
         return np.frombuffer(b"".join(map(self.__getitem__, (text or "").encode().split())), dtype="<u4")
 
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketwise.llm.tables import id_text, small_batches
+
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -150,6 +152,7 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def train(docs: DataFrame, spec: LangSpec = LangSpec()) -> LanguageModel:
     """Fit on ``doc_id, text, lang``: learnable rows (see :func:`learnable`) with a language and a text."""
+    small_batches(docs.sparkSession)
     typed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
                         F.col("lang").cast("string").alias("lang"))
     known = typed.filter(learnable(typed) & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -202,12 +205,12 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 [batch.column(0), pa.array([f[0] for f in found], pa.string()),
                  pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return id_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def accept(docs: DataFrame, model: LanguageModel, least: float = 0.4) -> DataFrame:
     """Rows of ``docs``, all columns, whose language is known with a calibrated score of ``least`` or more."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

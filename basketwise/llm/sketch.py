@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketwise.llm.tables import materialize
+from basketwise.llm.tables import materialize, small_batches
 from basketwise.llm.words import BASES, U64, mix
 
 
@@ -81,7 +81,7 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]
             for found in hashes(batch):
                 held.append(found)
                 waiting += len(found)
-                if waiting > 2_000_000:
+                if waiting > 500_000:
                     fold()
         fold()
         part = TaskContext.get().partitionId()
@@ -145,6 +145,7 @@ def id_filter(ids: DataFrame, spec: SketchSpec = SketchSpec()) -> np.ndarray:
 def rows_maybe_in(df: DataFrame, id_at: int, bits: np.ndarray, spec: SketchSpec = SketchSpec(),
                   wanted: bool = True) -> DataFrame:
     """Rows whose id may be among those of the filter (or, with ``wanted`` false, surely is not). Null ids never are."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

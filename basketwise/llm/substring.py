@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketwise.llm import sketch
+from basketwise.llm.tables import small_batches
 from basketwise.llm.words import BASES, U64, Words, column_words, windows
 
 
@@ -100,6 +101,7 @@ def remove_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), keep_spacin
     What returns to a document is the list of windows that it is first to have; it drops the others.
     """
     session = docs.sparkSession
+    small_batches(session)
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.struct(*(others or [F.lit(0).alias("none")])).alias("rest"))

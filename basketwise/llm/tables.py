@@ -7,7 +7,20 @@ from pyspark.sql import functions as F
 
 from basketwise.session import materialize
 
-__all__ = ["documents", "id_text", "materialize", "table"]
+__all__ = ["documents", "id_text", "materialize", "small_batches", "table"]
+
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to 1,000 rows and 8 MB, which bounds what a Python worker and its task hold of
+    long texts. Smaller settings stay."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    held = spark.conf.get(size).rstrip("b")
+    if not (held.isdigit() and 0 < int(held) <= BATCH_BYTES):
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,5 +32,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only ``doc_id`` (long) and ``text`` (string), so that other columns cannot clash."""
+    """Only ``doc_id`` (long) and ``text`` (string), so that other columns cannot clash; texts go to Python in small
+    batches."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
