@@ -118,7 +118,8 @@ def weak_labels(found: DataFrame) -> DataFrame:
 
 def train(labelled: DataFrame, spec: SecretSpec = SecretSpec()) -> RandomForestClassificationModel | None:
     """Fit on rows with ``FEATURES`` and ``label`` (0, 1; null rows are left out): ``spec.per_label`` rows of each
-    label at most, those with the smallest hash. None if only one label occurs, since there is nothing to tell apart."""
+    label at most, those with the smallest hash. None if only one label occurs, since there is nothing to tell apart;
+    :func:`judge` then goes by the rules alone."""
     order = Window.partitionBy("label").orderBy(F.xxhash64("secret", "doc_id", "word_no"), "secret", "doc_id", "word_no", "part")
     rows = (labelled.filter("label is not null").withColumn("place", F.row_number().over(order))
             .filter(F.col("place") <= spec.per_label).select(*FEATURES, "label", "place"))
@@ -131,9 +132,11 @@ def train(labelled: DataFrame, spec: SecretSpec = SecretSpec()) -> RandomForestC
 
 
 def judge(found: DataFrame, model: RandomForestClassificationModel | None, spec: SecretSpec = SecretSpec()) -> DataFrame:
-    """Candidates with ``probability`` and ``is_secret``. Without a model all are kept as secrets (probability null)."""
+    """Candidates with ``probability`` and ``is_secret``. Without a model the rules of :func:`weak_labels` decide: only
+    what they label 1 is a secret (probability null)."""
     if model is None:
-        return found.withColumn("probability", F.lit(None).cast("double")).withColumn("is_secret", F.lit(True))
+        ruled = weak_labels(found).withColumn("is_secret", F.coalesce(F.col("label") == 1, F.lit(False)))
+        return ruled.withColumn("probability", F.lit(None).cast("double")).select(*found.columns, "probability", "is_secret")
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found)
     scored = model.transform(ready).withColumn("probability", vector_to_array("probability")[1])
     return scored.withColumn("is_secret", F.col("probability") >= spec.least).drop(

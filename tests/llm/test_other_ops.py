@@ -256,6 +256,18 @@ def test_secrets_odd_rows(odd_docs, no_docs):
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
 
 
+def test_without_a_positive_label_nothing_is_masked(make_docs):
+    clean = ["see https://example.com/a/long/path/of/an/article and internationalization",
+             "write to somebody.else@mailserver.example.com about 1234567890123456", None, ""]
+    docs = make_docs(clean)
+    rows = secret_scan.scan(docs).collect()
+    assert rows and not any(r["is_secret"] for r in rows)
+    assert {r["doc_id"]: r["text"] for r in secret_scan.mask(docs).collect()} == dict(enumerate(clean))
+    value = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"  # only the rule speaks, and only for this one
+    alone = secret_scan.mask(make_docs([f'token = "{value}"', "no candidates here"])).collect()
+    assert {r["text"] for r in alone} == {'token = "[secret]"', "no candidates here"}
+
+
 def test_candidates_against_plain_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = set()
