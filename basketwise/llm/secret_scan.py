@@ -26,13 +26,13 @@ FEATURES = ("length", "transitions", "digit_share", "upper_share", "hex_only", "
 class SecretSpec:
     """``per_label`` labelled findings of each kind at most (smallest hash) train ``trees`` trees of ``depth``.
 
-    A word counts as a dictionary word from ``known_from`` occurrences in the corpus on.
+    A dictionary word stands, outside candidates, in at least the share ``known_share`` of the distinct texts.
     """
 
     per_label: int = 2000
     trees: int = 24
     depth: int = 5
-    known_from: int = 3
+    known_share: float = 0.001
     seed: int = 7
     least: float = 0.5
 
@@ -65,15 +65,21 @@ def featured(found: DataFrame, docs: DataFrame, spec: SecretSpec) -> DataFrame:
     """Candidates with the numeric columns ``FEATURES``.
 
     ``dictionary`` is the share of the candidate's letters in runs of three or more that the corpus uses as
-    words. Words are counted over all whole texts, combined before the shuffle, and meet only the distinct
+    words: in a share of the distinct texts, outside candidates, so that neither copies of a text or key nor the
+    size of the corpus make a key's runs known. Words are combined before the shuffle and meet only the distinct
     runs of the candidates.
     """
-    texts = docs.select(F.lower(F.col("text").cast("string")).alias("text"))
+    texts = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
+    plain = F.lower(F.regexp_replace("text", CANDIDATE, " "))
     runs = F.filter(F.split(F.lower("secret"), r"[^\p{L}]+"), lambda x: F.length(x) >= 3)
     wanted = found.select(F.explode(runs).alias("word")).distinct()
-    counts = (texts.select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word")).filter(F.length("word") >= 3)
-              .groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= spec.known_from))
-    known = wanted.join(counts, "word", "left_semi")
+    own = F.filter(F.array_distinct(F.split(plain, r"[^\p{L}]+")), lambda x: F.length(x) >= 3)
+    # the empty word stands in every text and so counts the texts
+    counts = materialize(texts.select(F.explode(F.array_append(own, F.lit(""))).alias("word"))
+                         .groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    n_texts = counts.filter("word = ''").select(F.col("n").alias("n_texts"))  # one row
+    often = counts.crossJoin(F.broadcast(n_texts)).filter(F.col("n") >= F.col("n_texts") * spec.known_share)
+    known = wanted.join(often, "word", "left_semi")
     texts_of = found.select("secret").distinct()
     covered = (texts_of.select("secret", F.explode(runs).alias("word")).join(known, "word")
                .groupBy("secret").agg(F.sum(F.length("word")).alias("covered")))

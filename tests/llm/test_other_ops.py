@@ -268,6 +268,19 @@ def test_without_a_positive_label_nothing_is_masked(make_docs):
     assert {r["text"] for r in alone} == {'token = "[secret]"', "no candidates here"}
 
 
+def test_copies_do_not_make_dictionary_words(make_docs):
+    rng = random.Random(9)
+    key = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))
+    prose = [f"the quick river number{i} runs here" for i in range(30)]
+    once = [*prose, f"value {key} stands", "see /quick/river/runs/here/ now"]
+    measured = []
+    for texts in (once, [*once, *[once[-2]] * 5, *[f"text {i} shows {key} again" for i in range(5)]]):
+        docs = make_docs(texts)
+        rows = secret_scan.featured(secret_scan.candidates(docs), docs, secret_scan.SecretSpec()).collect()
+        measured.append({r["secret"]: r["dictionary"] for r in rows})
+    assert measured[0] == measured[1] and measured[0][key] == 0 and measured[0]["quick/river/runs/here"] > 0.7
+
+
 def test_candidates_against_plain_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = set()
