@@ -12,14 +12,31 @@ from pyspark.sql import functions as F
 
 from basketwise.llm.tables import materialize
 
-CANDIDATE = r"[A-Za-z0-9+/_=.\-]{16,}"
-TRIMMED = r"^[=./\-]+|[.=/\-]+$"
-# words that introduce a credential
-KEYWORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "accesskey",
-            "private_key", "credential", "credentials", "auth", "authorization", "bearer", "key", "client_secret")
+CANDIDATE = r"[A-Za-z0-9+/_.\-]{16,}"
+TRIMMED = r"^[./\-]+|[./\-]+$"
+LONG = 16
+# names, or parts of names, that introduce a credential; the short ones only as whole parts
+KEYWORD = (r"(?:token|secret|password|passwd|api[_\-]?key|access[_\-]?key|private[_\-]?key"
+           r"|(?:secret|signing|encryption|master|account)[_\-]?key|credential|authorization"
+           r"|(?<![a-z])(?:pwd|pass|auth|bearer|key))s?(?![a-z])")
+NAME = r"[a-z0-9_.\-]{0,60}" + KEYWORD + r"[a-z0-9_.\-]{0,60}"
+SIGN = r"(?:=>|:=|==|=|:)"
+# name=value, "name":"value" and the like inside one word; a name with its sign at the end of a word
+VALUE = r"[^\s\"'`<>,;=(){}\[\]]+"
+INSIDE = rf"(?i)(?:^|[^a-z0-9]){NAME}[\"'`]?{SIGN}[\"'`]?({VALUE})"
+NAMED = rf"(?i)(?:^|[^a-z0-9]){NAME}[\"'`]?\s?{SIGN}[\"'`]?$"
+ANY_NAMED = rf"(?i){KEYWORD}[a-z0-9_.\-]{{0,60}}[\"'`]?\s?[=:]"
+# scheme://user:password@host
+LOGIN = r"[A-Za-z][A-Za-z0-9+.\-]{0,20}://[^\s/:@]*:([^\s/@]+)@"
+# words of the body of a private key block
+BODY = r"^[A-Za-z0-9+/]+=*$"
+# published forms of keys of large services, signed tokens
+FORMAT = (r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_\-]{20,}"
+          r"|xox[abeoprs]-[A-Za-z0-9\-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}|npm_[A-Za-z0-9]{36}"
+          r"|SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]*)?)$")
 FEATURES = ("length", "transitions", "digit_share", "upper_share", "hex_only", "digits_only", "variety",
             "consonant_runs", "dictionary", "path_parts", "dots", "extension", "web_before", "keyword_near",
-            "assigned", "quoted", "plain_words_near")
+            "assigned", "quoted", "plain_words_near", "known_format", "login", "pem_block")
 
 
 @dataclass(frozen=True)
@@ -38,23 +55,61 @@ class SecretSpec:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, word_no, part, secret, around`` and context flags of every candidate string of whole texts.
+    """``doc_id, word_no, part, secret`` and the context of every candidate string of whole texts.
 
-    A candidate is a run of 16 or more characters that keys are made of, inside one word (between white space),
-    without punctuation at its ends.
+    A candidate is a run of 16 or more characters that keys are made of, inside one word (between white space) and
+    without punctuation at its ends ('=' ends a run, so a name is no part of its value); a value of any length and
+    alphabet that a name with a keyword assigns, in the same word or the next; the password of a URL; and every
+    word of a private key block. ``part`` numbers the runs of a word, then its other values.
     """
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = base.select("doc_id", F.split("text", r"\s+").alias("w"))
-    spots = F.filter(F.transform("w", lambda x, i: F.when(F.length(x) >= 16, i)), lambda i: i.isNotNull())
-    at = words.select("doc_id", "w", F.explode(spots).alias("i"))
+    words = base.select(
+        "doc_id", F.split("text", r"\s+").alias("w"), F.col("text").rlike(ANY_NAMED).alias("naming"),
+        (F.col("text").contains("://") & F.col("text").rlike(LOGIN)).alias("logins"), F.col("text").contains("-----BEGIN").alias("blocks"))
+    # last words of the first line of private key blocks, and the words that close a block
+    none = F.array().cast("array<int>")
+    w = F.col("w")
+    at_words = lambda test: F.filter(F.transform(w, lambda x, i: F.when(test(x, i), i)), lambda i: i.isNotNull())
+    head = lambda i: F.array_join(F.slice(w, F.greatest(i - 3, F.lit(1)), F.least(i + 1, F.lit(5))), " ")
+    words = words.withColumn("opens", F.when(F.col("blocks"), at_words(
+        lambda x, i: x.endswith("-----") & head(i).rlike(r"-----BEGIN (?:\S+ )*PRIVATE KEY(?: BLOCK)?-----$"))).otherwise(none))
+    words = words.withColumn("closes", F.when(F.size("opens") > 0, at_words(
+        lambda x, i: x.startswith("-----END"))).otherwise(none))
+
+    def in_block(i):
+        opened = F.array_max(F.filter("opens", lambda p: p < i))
+        closed = F.array_max(F.filter("closes", lambda p: p <= i))
+        return opened.isNotNull() & (closed.isNull() | (closed < opened))
+
+    two_before = lambda i: F.array_join(F.slice(w, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))), " ")
+    named = lambda i: F.when(F.col("naming") & (i > 0), two_before(i).rlike(NAMED)).otherwise(F.lit(False))
+    wanted = lambda x, i: ((F.length(x) >= LONG) | (F.col("naming") & (x.rlike(INSIDE) | named(i)))
+                           | (F.col("logins") & x.rlike(LOGIN)) | ((F.size("opens") > 0) & x.rlike(BODY) & in_block(i)))
+    special = F.col("naming") | F.col("logins") | (F.size("opens") > 0)
+    spots = F.when(special, at_words(wanted)).otherwise(at_words(lambda x, i: F.length(x) >= LONG))
+    at = words.select("*", F.explode(spots).alias("i"))
     near = at.select(
         "doc_id", F.col("i").cast("long").alias("word_no"), F.col("w")[F.col("i")].alias("word"),
         F.lower(F.array_join(F.slice("w", F.greatest(F.col("i") - 2, F.lit(1)), F.least(F.col("i"), F.lit(3))), " "))
         .alias("before"),
-        F.lower(F.coalesce(F.get("w", F.col("i") + 1), F.lit(""))).alias("after"))
+        F.lower(F.coalesce(F.get("w", F.col("i") + 1), F.lit(""))).alias("after"),
+        named(F.col("i")).alias("named"), F.when(F.size("opens") > 0, F.col("w")[F.col("i")].rlike(BODY) & in_block(F.col("i"))).otherwise(F.lit(False))
+        .alias("block"))
     near = near.withColumn("before", F.when(F.col("word_no") > 0, F.col("before")).otherwise(F.lit("")))
-    found = near.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), 1)).alias("part", "raw"))
-    return found.withColumn("secret", F.regexp_replace("raw", TRIMMED, "")).filter(F.length("secret") >= 16)
+    empty = F.array().cast("array<string>")
+    runs = F.filter(F.transform(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), 1),
+                                lambda x: F.regexp_replace(x, TRIMMED, "")), lambda x: F.length(x) >= LONG)
+    held = F.transform(F.regexp_extract_all("word", F.lit(INSIDE), 1), lambda x: F.regexp_replace(x, r"[.:!?]+$", ""))
+    logins = F.regexp_extract_all("word", F.lit(LOGIN), 1)
+    whole = F.regexp_replace(F.regexp_replace("word", r"^[\"'`(<\[{]+", ""), r"[\"'`)>\]},;.:!?]+$", "")
+    others = F.concat(held, logins, F.when(F.col("named"), F.array(whole)).otherwise(empty),
+                      F.when(F.col("block"), F.array(F.regexp_replace("word", "=+$", ""))).otherwise(empty))
+    near = near.select("*", runs.alias("runs"), logins.alias("passwords"), others.alias("others"))
+    # a value that is one of the runs but for punctuation at its ends is that run
+    more = F.filter(F.array_distinct("others"), lambda x: (F.length(x) > 0) & ~F.array_contains(
+        F.col("runs"), F.regexp_replace(F.regexp_replace(x, TRIMMED, ""), "=+$", "")))
+    found = near.select("*", F.posexplode(F.concat("runs", more)).alias("part", "secret"))
+    return found.drop("runs", "others")
 
 
 def _share(secret: Column, kind: str) -> Column:
@@ -86,8 +141,9 @@ def featured(found: DataFrame, docs: DataFrame, spec: SecretSpec) -> DataFrame:
     s, before = F.col("secret"), F.col("before")
     one = lambda c: c.cast("double")
     last = F.regexp_replace(F.regexp_replace(before, r"[\"'=:\s]+$", ""), r"^.*[\s\"'=:]", "")
-    inner = F.regexp_extract("word", r"^(.*?)[\"']?[A-Za-z0-9+/_=.\-]{16}", 1)
-    told = F.lower(F.regexp_replace(inner, r"[\"'=:]+$", ""))
+    inner = F.regexp_replace(F.expr("substring(word, 1, greatest(locate(secret, word) - 1, 0))"), r"[./\-]+$", "")
+    told = F.lower(F.regexp_replace(inner, r"[\"'`=:>({\[]+$", ""))
+    name = F.when(told == "", last).otherwise(told)
     word_at = F.col("word")
     return found.join(covered, "secret", "left").select(
         "doc_id", "word_no", "part", "secret",
@@ -101,24 +157,30 @@ def featured(found: DataFrame, docs: DataFrame, spec: SecretSpec) -> DataFrame:
         .alias("consonant_runs"),
         (F.coalesce("covered", F.lit(0)) / F.length(s)).alias("dictionary"),
         one(F.size(F.split(s, "/")) - 1).alias("path_parts"), one(F.size(F.split(s, r"\.")) - 1).alias("dots"),
-        one(s.rlike(r"\.[A-Za-z]{2,5}$")).alias("extension"), one(word_at.rlike("(@|://|www[.])")).alias("web_before"),
-        one(last.isin(*KEYWORDS) | told.isin(*KEYWORDS)).alias("keyword_near"),
-        one(before.rlike(r"[=:][\"']?$") | inner.rlike(r"[=:][\"']?$")).alias("assigned"),
+        one(s.rlike(r"\.[A-Za-z]{2,5}$")).alias("extension"), one(word_at.rlike(r"([\w.+\-]+@[\w\-]+[.]|://|www[.])")).alias("web_before"),
+        one(name.rlike(NAME + "$")).alias("keyword_near"),
+        one(before.rlike(r"([=:]|=>)[\"'`]?$") | inner.rlike(r"([=:]|=>)[\"'`]?$")).alias("assigned"),
         one(word_at.rlike(r"[\"'].*[\"']")).alias("quoted"),
         one(F.size(F.filter(F.split(F.concat_ws(" ", before, F.col("after")), " "),
-                            lambda x: x.rlike(r"^\p{L}+[,.]?$")))).alias("plain_words_near"))
+                            lambda x: x.rlike(r"^\p{L}+[,.]?$")))).alias("plain_words_near"),
+        one(s.rlike(FORMAT)).alias("known_format"), one(F.array_contains("passwords", s)).alias("login"),
+        one(F.col("block")).alias("pem_block"))
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
     """Labelled findings where a team has none of its own: ``label`` 1, 0, or null if neither rule speaks.
 
-    1: a keyword assigns the value, it mixes letters and digits and is no web address or file. 0: letters
-    only, digits only, a web or mail address, or dictionary words with nothing assigned.
+    1: a published key format, a line of a private key block, the password of a URL, or a value of six or more
+    characters that a keyword assigns, that mixes letters and digits and is no web address or file. 0: letters only
+    (unless a keyword assigns them and they are no words), digits only, a web or mail address, or dictionary words
+    with nothing assigned.
     """
     mixed = (F.col("digit_share") > 0.1) & (F.col("digit_share") < 0.9) & (F.col("web_before") == 0)
-    yes = (F.col("keyword_near") == 1) & (F.col("assigned") == 1) & mixed & (F.col("extension") == 0)
-    no = ((F.col("digit_share") == 0) | (F.col("digits_only") == 1) | (F.col("web_before") == 1)
-          | ((F.col("dictionary") > 0.5) & (F.col("assigned") == 0)))
+    named = (F.col("keyword_near") == 1) & (F.col("assigned") == 1)
+    yes = ((F.col("known_format") == 1) | (F.col("login") == 1) | (F.col("pem_block") == 1)
+           | (named & mixed & (F.col("extension") == 0) & (F.col("length") >= 6)))
+    no = (((F.col("digit_share") == 0) & ~(named & (F.col("dictionary") <= 0.5))) | (F.col("digits_only") == 1)
+          | (F.col("web_before") == 1) | ((F.col("dictionary") > 0.5) & (F.col("assigned") == 0)))
     return found.withColumn("label", F.when(yes, 1.0).when(no, 0.0))
 
 
@@ -154,24 +216,34 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, spec: SecretSpec =
 
     Gives ``doc_id, word_no`` (place among the words between white space), ``part`` (within the word),
     ``secret``, the ``FEATURES``, ``probability`` and ``is_secret``. ``labelled`` holds findings with ``FEATURES``
-    and ``label``; without it :func:`weak_labels` labels the findings themselves. Null and empty texts have
+    and ``label``; without it :func:`weak_labels` labels the findings themselves, and what its rules label 1 is a
+    secret whatever the forest says. Null and empty texts have
     no candidates; rows are independent, repeated rows give repeated findings; other columns are ignored;
     an empty table gives no rows.
     """
     found = materialize(featured(candidates(docs), docs, spec), "findings")
-    return judge(found, train(weak_labels(found) if labelled is None else labelled, spec), spec)
+    if labelled is not None:
+        return judge(found, train(labelled, spec), spec)
+    judged = weak_labels(judge(found, train(weak_labels(found), spec), spec))
+    return judged.withColumn("is_secret", F.col("is_secret") | F.coalesce(F.col("label") == 1, F.lit(False))).drop("label")
 
 
 def mask(docs: DataFrame, spec: SecretSpec = SecretSpec(), mark: str = "[secret]") -> DataFrame:
     """``docs`` with every confirmed secret replaced by ``mark`` in its document; ``n_chars``, if present, follows.
 
-    All rows and columns stay; a text without secrets is unchanged. Longer secrets are replaced first.
+    All rows and columns stay; a text without secrets is unchanged. Longer secrets are replaced first; those under
+    16 characters only where no letter or digit touches them.
     """
     hits = (scan(docs, spec=spec).filter("is_secret and doc_id is not null").select("doc_id", "secret").distinct()
             .groupBy(F.col("doc_id").alias("__doc"))
             .agg(F.sort_array(F.collect_list(F.struct(-F.length("secret"), "secret"))).alias("__secrets")))
     both = docs.join(hits, docs["doc_id"].cast("bigint") == hits["__doc"], "left")
-    text = F.aggregate("__secrets", F.col("text"), lambda t, x: F.replace(t, x["secret"], F.lit(mark)))
+    quoted = lambda x: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(x, F.lit(r"\E"), F.lit(r"\E\\E\Q")),
+                                F.lit(r"\E(?![A-Za-z0-9])"))
+    safe = F.lit(mark.replace("\\", r"\\").replace("$", r"\$"))
+    text = F.aggregate("__secrets", F.col("text"), lambda t, x: F.when(
+        F.length(x["secret"]) >= LONG, F.replace(t, x["secret"], F.lit(mark))).otherwise(
+        F.regexp_replace(t, quoted(x["secret"]), safe)))
     text = F.when(F.col("__secrets").isNull(), F.col("text")).otherwise(text)
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:
