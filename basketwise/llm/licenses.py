@@ -87,12 +87,52 @@ def sure_words(templates: dict[str, str], least: float = LEAST) -> list[str]:
     return sorted(out)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
+def _windows(words: Column, pairs: list[str], least: float) -> Column:
+    """Runs of words around a template's bigrams that can reach ``least``: array of (first bigram, last bigram).
+
+    Dice >= t means that (2 - t) for every distinct template bigram of the run, less t for every other bigram, comes
+    to t times the template's bigrams. One pass over the places of template bigrams keeps the run with the largest
+    sum; it ends where the sum falls under 0, where it has dropped by more than a template can win back, or where the
+    next bigram would pass the largest size that can match. The work grows with the text, not with pairs of places.
+    """
+    n = len(pairs)
+    gain, high = 2 - least, math.floor(round(n * (2 - least) / least, 9))
+    at = lambda i: F.concat(F.get(words, i), F.lit(" "), F.get(words, i + 1))
+    indices = F.when(F.size(words) > 1, F.sequence(F.lit(0), F.size(words) - 2)).otherwise(F.array().cast("array<int>"))
+    hits = F.filter(F.transform(indices, lambda i: F.struct(i.alias("i"), at(i).alias("pair"))), lambda x: x["pair"].isin(pairs))
+    none = F.array().cast("array<struct<first:int,last:int>>")
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"), F.lit(0.0).alias("top"),
+                     F.lit(-1).alias("end"), F.array().cast("array<string>").alias("seen"), none.alias("out"))
+
+    def closed(a):
+        here = F.array(F.struct(a["first"].alias("first"), a["end"].alias("last")))
+        return F.when(a["top"] >= F.lit(round(least * n, 9) - 1e-9), F.concat(a["out"], here)).otherwise(a["out"])
+
+    def step(a, x):
+        paid = a["sum"] - F.lit(least) * (x["i"] - a["last"] - 1)
+        fresh = ((a["first"] < 0) | (paid <= 0) | (a["top"] - paid > F.lit(gain * n))
+                 | (x["i"] - a["first"] + 1 > F.lit(high)))
+        again = F.array_contains(a["seen"], x["pair"])
+        # a run that is enough already, and its first bigram once more: the next copy
+        fresh = fresh | ((a["top"] >= F.lit(round(least * n, 9) - 1e-9)) & (F.get(a["seen"], F.lit(0)) == x["pair"]))
+        total = F.when(fresh, F.lit(gain)).when(again, paid).otherwise(paid + F.lit(gain))
+        better = fresh | (total > a["top"])
+        return F.struct(
+            total.alias("sum"), F.when(fresh, x["i"]).otherwise(a["first"]).alias("first"), x["i"].alias("last"),
+            F.when(better, total).otherwise(a["top"]).alias("top"), F.when(better, x["i"]).otherwise(a["end"]).alias("end"),
+            F.when(fresh, F.array(x["pair"])).when(again, a["seen"]).otherwise(F.array_append(a["seen"], x["pair"])).alias("seen"),
+            F.when(fresh, closed(a)).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(hits, start, step, closed)
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, anywhere: bool = False) -> DataFrame:
     """Passages that match a template: ``doc_id, license, dice, bigrams, passage``.
 
     Passages are the whole text, its paragraphs (between blank lines), its lines and its sentences, normalised and
     distinct within a row. One row comes for each passage and its best template (ties: smaller name) with
-    Dice >= ``least``. A null or empty text has no passages; rows are independent, so repeated rows give
+    Dice >= ``least``. With ``anywhere``, runs of words that match across or inside those passages are passages too
+    (see :func:`_windows`), if the row has no passage of that licence that contains them or lies in them. A null or empty text has no passages; rows are independent, so repeated rows give
     repeated findings; other columns are ignored; an empty table gives no rows.
 
     Documents without any of :func:`sure_words` are left out first, which cannot lose a match; then template sizes
@@ -104,10 +144,25 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
         words = template_words(text)
         rows.append((name, sorted({f"{a} {b}" for a, b in zip(words, words[1:])})))
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    likely = base.filter(F.arrays_overlap(F.split(normal(F.col("text")), " "), F.lit(sure_words(templates, least))))
+    words = F.split(normal(F.col("text")), " ")
+    likely = base.filter(F.arrays_overlap(words, F.lit(sure_words(templates, least))))
     parts = F.concat(F.array("text"), F.split("text", r"\n\s*\n"), F.split("text", "\n"),
                      F.split("text", r"[.!?]\s+"))
-    passages = likely.select("doc_id", F.explode(F.array_distinct(F.transform(parts, normal))).alias("passage"))
+    own, kept = F.array_distinct(F.transform(parts, normal)), []
+    if not anywhere:
+        passages = likely.select("doc_id", F.explode(own).alias("passage"))
+    else:
+        spans = [F.when(F.arrays_overlap("words", F.lit(sure_words({name: templates[name]}, least))),
+                        _windows(F.col("words"), pairs, least)) for name, pairs in rows if pairs]
+        none = F.array().cast("array<struct<first:int,last:int>>")
+        cut = lambda x: F.array_join(F.slice("words", x["first"] + 1, x["last"] - x["first"] + 2), " ")
+        runs = F.array_distinct(F.transform(F.concat(none, *[F.coalesce(x, none) for x in spans]), cut))
+        near = lambda r: F.filter("own", lambda p: (F.length(p) > 0) & (F.contains(p, r) | F.contains(r, p)))
+        each = F.concat(F.transform("own", lambda p: F.struct(p.alias("passage"), F.array().cast("array<string>").alias("rivals"))),
+                        F.transform("runs", lambda r: F.struct(r.alias("passage"), near(r).alias("rivals"))))
+        passages = likely.withColumn("words", words).withColumn("own", own).withColumn("runs", runs).select(
+            "doc_id", F.inline(each))
+        kept = ["rivals"]
     sized = passages.withColumn("pairs", word_bigrams(F.split("passage", " "))).withColumn("bigrams", F.size("pairs"))
     low, high = least / (2 - least), (2 - least) / least
     scores = []
@@ -118,5 +173,16 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     found = sized.filter(F.col("bigrams") > 0).withColumn("all", F.filter(
         F.array(*scores), lambda x: x.isNotNull() & (x["dice"] >= least)))
     best = F.reduce("all", F.col("all")[0], lambda b, x: F.when(x["dice"] > b["dice"], x).otherwise(b))
-    return found.filter(F.size("all") > 0).withColumn("best", best).select(
-        "doc_id", "best.license", "best.dice", F.col("bigrams").cast("bigint").alias("bigrams"), "passage")
+    found = found.filter(F.size("all") > 0).withColumn("best", best).select(
+        "doc_id", "best.license", "best.dice", F.col("bigrams").cast("bigint").alias("bigrams"), "passage", *kept)
+    if not anywhere:
+        return found
+
+    def told(passage):
+        """Whether the passage itself matches the licence of the row."""
+        own = word_bigrams(F.split(passage, " "))
+        dice = [F.when(F.col("license") == name, F.lit(2.0) * F.size(F.array_intersect(own, F.lit(pairs)))
+                       / (F.size(own) + F.lit(len(pairs)))) for name, pairs in rows]
+        return F.coalesce(*dice) >= least
+
+    return found.filter(~F.exists("rivals", told)).drop("rivals")

@@ -205,6 +205,29 @@ def test_licenses_without_prefilter(make_docs):
     assert got == want and len(want) > 60
 
 
+def test_licenses_inside_long_documents(make_docs):
+    rng = random.Random(12)
+    body = " ".join(rng.choice(["river", "of", "the", "stone", "house", "in", "quiet", "and", "walks"]) for _ in range(400))
+    cut = lambda name, *marks: re.sub("(" + "|".join(marks) + ")", r"\n\n\1", licenses.TEMPLATES[name])
+    mit = cut("MIT", "The above", "THE SOFTWARE IS")
+    changed = mit.replace("sublicense", "subset").replace("merge", "mix")
+    texts = [f"{body}\n\n{mit}\n\n{body}", f"{cut('Apache-2.0-header', 'http:', 'Unless')}\n\n{body}",
+             f"{cut('GPL-3.0-header', 'This program is dist')}\n\n{body}",
+             f"{body} This project is released under the MIT license and welcomes patches. {body}",
+             f"{body}\n\n{mit}\n\n{changed}\n\n{body}", body, "the license of the software and the notice", None, ""]
+    got = [(r["doc_id"], r["license"], r["dice"]) for r in licenses.scan(make_docs(texts), anywhere=True).collect()]
+    assert sorted((d, n) for d, n, _ in got) == [
+        (0, "MIT"), (1, "Apache-2.0-header"), (1, "Apache-2.0-notice"), (2, "GPL-3.0-header"), (3, "MIT-notice"), (4, "MIT"), (4, "MIT")]
+    assert all(x > 0.9 for _, _, x in got)
+
+
+def test_licenses_anywhere_keeps_all_passages(spark, odd_docs, no_docs):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    few, more = ({tuple(r) for r in licenses.scan(docs, anywhere=x).collect()} for x in (False, True))
+    assert few and few <= more
+    assert licenses.scan(odd_docs, anywhere=True).count() == 0 and licenses.scan(no_docs, anywhere=True).count() == 0
+
+
 def test_licenses_odd_rows(odd_docs, no_docs):
     assert licenses.scan(odd_docs).count() == 0 and licenses.scan(no_docs).count() == 0
 
