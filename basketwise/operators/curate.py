@@ -436,12 +436,14 @@ def curate(raw: DataFrame, rules: CurationRules, position: str = "position",
         F.lit(None).cast(failed.schema["trace"].dataType).alias("trace"),
     )
     accepted_lines = lines.drop("entity_id", "fetched_at").join(
-        deduped.filter(~F.col("is_duplicate")).select("record_id", "entity_id", "snapshot_id", "fetched_at"), "record_id") \
+        deduped.filter(~F.col("is_duplicate")).select(
+            "record_id", "entity_id", "snapshot_id", "fetched_at", F.col("source_url").alias("__url")), "record_id") \
         .drop("record_id")
     items = first_seen_items(
-        accepted_lines, F.struct("fetched_at", "entity_id", "line_number"),
-        carry=["item_name", "entity_id", "fetched_at", "item"],
-    ).withColumnsRenamed({"entity_id": "first_seen_entity_id", "fetched_at": "first_seen_fetched_at"})
+        accepted_lines, F.struct("fetched_at", "entity_id", "line_number", "__url"),
+        carry=["item_name", "entity_id", "fetched_at", "item", "__url"],
+    ).withColumnsRenamed({"entity_id": "first_seen_entity_id", "fetched_at": "first_seen_fetched_at",
+                          "__url": "first_seen_source_url"})
     if known_items is not None:
         items = skip_existing(items, known_items, ["item_id"])
     names = judged.select("record_id", "entity_id", "snapshot_id")
@@ -449,7 +451,7 @@ def curate(raw: DataFrame, rules: CurationRules, position: str = "position",
         "accepted": accepted,
         "rejected": failed.unionByName(duplicates).unionByName(unusable),
         "items": items,
-        "lines": accepted_lines,
+        "lines": accepted_lines.drop("__url"),
         "violations": violations(lines.drop("entity_id"), facts, "record_id").join(names, "record_id").drop("record_id"),
     }
 

@@ -186,3 +186,11 @@ def test_items_and_rejects_are_written_once_over_batches(spark, tmp_path):
     assert rows(inc.read_table(spark, f"{out}/rejected"), "entity_id") == [(2,)]
     assert rows(inc.read_table(spark, f"{out}/accepted"), "entity_id") == [(1,), (3,)]
     assert inc.read_table(spark, f"{out}/violations").count() == 0
+
+
+def test_items_name_the_record_that_showed_them_first(spark, tmp_path):
+    other = deck(n=98, extra=[line("late", 500)], owner={"id": 8, "username": "y"})
+    tables = run(spark, tmp_path / "in" / "a.jsonl", [
+        record("x101", deck(), fetched="2025-01-01T00:00:00Z"), record(202, other)])
+    first = {r["item_id"]: (r["first_seen_entity_id"], r["first_seen_source_url"]) for r in tables["items"].collect()}
+    assert first["card-1"] == (None, "u/x101") and first["late"] == (202, "u/202")
