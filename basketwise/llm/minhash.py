@@ -39,23 +39,28 @@ class NearDupSpec:
 SIGNATURE_SCHEMA = ("doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary")
 
 
-def document_sets(column: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes); a text shorter than a shingle is one shingle of all its words."""
-    for words in column_words(column, lower=True):
-        hashes = words.hashes[0]
-        grams = windows(hashes, shingle)
+def document_sets(column: pa.Array, shingle: int, digests: bool = False) -> Iterator[tuple[int, np.ndarray, tuple]]:
+    """(row, sorted distinct shingle hashes, digest); a text shorter than a shingle is one shingle of all its words.
+
+    The digest is two 64-bit numbers from independently keyed hashes of all distinct shingles (None for an empty set,
+    or if not asked for).
+    """
+    for words in column_words(column, seeds=1 + digests, lower=True):
+        grams = [windows(h, shingle) for h in words.hashes]
         for k in range(len(words.bounds) - 1):
             lo, hi = int(words.bounds[k]), int(words.bounds[k + 1])
-            if hi - lo >= shingle:
-                yield words.first + k, np.unique(grams[lo:hi - shingle + 1])
-            elif hi > lo:
-                total = U64(hi - lo)
+            if hi == lo:
+                yield words.first + k, np.zeros(0, dtype=U64), (None, None)
+                continue
+            own = [g[lo:hi - shingle + 1] for g in grams] if hi - lo >= shingle else \
+                [windows(h[lo:hi], hi - lo) for h in words.hashes]
+            if digests:
+                found, at = np.unique(own[0], return_index=True)
                 with np.errstate(over="ignore"):
-                    for x in hashes[lo:hi]:
-                        total = total * U64(BASES[1]) + x
-                yield words.first + k, mix(np.array([total], dtype=U64))
+                    second = mix(own[1][at] + found).sum(dtype=U64)
+                yield words.first + k, found, (xxhash.xxh3_64_intdigest(found.tobytes()), int(second))
             else:
-                yield words.first + k, np.zeros(0, dtype=U64)
+                yield words.first + k, np.unique(own[0]), (None, None)
 
 
 def _coefficients(spec: NearDupSpec) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +85,7 @@ def signatures(docs: DataFrame, spec: NearDupSpec) -> DataFrame:
     """Per document: set size, 128-bit digest of the set, band keys, and one byte of every minimum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(ids, sets):
+        def flush(ids, sets, digests):
             full = [i for i, s in enumerate(sets) if len(s)]
             keys: list = [None] * len(sets)
             sketch: list = [None] * len(sets)
@@ -92,26 +97,25 @@ def signatures(docs: DataFrame, spec: NearDupSpec) -> DataFrame:
                 total, low = total.view(np.int64), low.astype(np.uint8)
                 for j, i in enumerate(full):
                     keys[i], sketch[i] = total[j], low[j].tobytes()
-            digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            half = lambda lo: pa.array(
-                [d and int.from_bytes(d[lo:lo + 8], "little", signed=True) for d in digest], pa.int64())
+            half = lambda k: pa.array([d[k] for d in digests], pa.uint64()).view(pa.int64())
             return pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), half(0), half(8),
+                pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), half(0), half(1),
                 pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
                 names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"])
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            ids, sets, size = [], [], 0
-            for row, found in document_sets(batch.column(1), spec.shingle):
+            ids, sets, digests, size = [], [], [], 0
+            for row, found, digest in document_sets(batch.column(1), spec.shingle, digests=True):
                 ids.append(names[row])
                 sets.append(found)
+                digests.append(digest)
                 size += len(found)
                 if size > 100_000 or len(ids) >= 2000:
-                    yield flush(ids, sets)
-                    ids, sets, size = [], [], 0
+                    yield flush(ids, sets, digests)
+                    ids, sets, digests, size = [], [], [], 0
             if ids:
-                yield flush(ids, sets)
+                yield flush(ids, sets, digests)
 
     return id_text(docs).mapInArrow(run, SIGNATURE_SCHEMA)
 
@@ -158,8 +162,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, spec: NearDupSpec, label: str) ->
                 part = batch.slice(first, 500)
                 rows = list(document_sets(part.column(1), spec.shingle))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[first + r] for r, _ in rows], pa.int64()),
-                     pa.array([s.tobytes() for _, s in rows], pa.binary())], names=["doc_id", "elements"])
+                    [pa.array([names[first + r] for r, _, _ in rows], pa.int64()),
+                     pa.array([s.tobytes() for _, s, _ in rows], pa.binary())], names=["doc_id", "elements"])
 
     return materialize(id_text(docs).mapInArrow(as_sets, "doc_id long, elements binary"), label)
 
@@ -232,22 +236,27 @@ def near_duplicates(docs: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataF
 
     ``component_id`` is the smallest doc_id reachable over links, ``kept`` marks that document. Texts that
     are null, empty or only white space have no shingles, are linked with nothing and are kept. Rows that share
-    a doc_id are one vertex; rows without doc_id get a null component and are kept. Other columns
-    are ignored; an empty table gives no rows.
+    a doc_id are one vertex with the links of all its texts (those without a word still stand alone); rows without
+    doc_id get a null component and are kept. Other columns are ignored; an empty table gives no rows.
 
     Plan: (1) documents with equal sets form a class, its smallest id stands for it, so copies cost one grouped
-    minimum; (2) in each band bucket every member is paired with one pivot only, the member that meets most others;
+    minimum, and classes that share a doc_id are linked; (2) in each band bucket every member is paired with one pivot only, the member that meets most others;
     pairs are checked on the one-byte sketches, the best pair of every member on full sets, and components are
     formed; (3) for documents in buckets that still hold several components, an exact prefix join finds the pairs
     across components whose rarest shingles leave room for the similarity, checked the same way. A pair inside one
-    component cannot change the result, so no link that matters is skipped and no bucket is capped.
+    component cannot change the result, and no bucket is capped. By chance a link whose two sets share no bucket is not
+    seen, see :class:`NearDupSpec` for how rarely.
     """
     sig = materialize(signatures(docs, spec), "signatures")
     known = sig.filter("doc_id is not null and n_shingles > 0")
     classes = materialize(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
     reps = materialize(
         known.join(classes.withColumnRenamed("rep", "doc_id"), ["set_a", "set_b", "doc_id"], "left_semi")
-        .dropDuplicates(["doc_id"]).drop("set_a", "set_b"), "reps")
+        .dropDuplicates(["doc_id", "set_a", "set_b"]).drop("set_a", "set_b"), "reps")
+    several = known.groupBy("doc_id").agg(*(f(c).alias(f.__name__ + c) for c in ("set_a", "set_b") for f in (F.min, F.max))) \
+        .filter("minset_a <> maxset_a or minset_b <> maxset_b").select("doc_id")
+    same_id = known.join(several, "doc_id", "left_semi").join(classes, ["set_a", "set_b"]).select(
+        F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     keys = reps.select("doc_id", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = materialize(keys.join(shared, "band").select("band", F.col("doc_id").alias("u"), "n"), "met")
@@ -259,7 +268,8 @@ def near_duplicates(docs: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataF
         _with_sketch_match(buckets.filter("u <> v").select("u", "v").distinct(), reps, spec), "stars")
     best = stars.groupBy("u").agg(F.max("share").alias("share"))
     first = materialize(stars.join(best, ["u", "share"]).groupBy("u").agg(F.min("v").alias("v")), "first")
-    linked = materialize(_confirmed(first, _sets(docs, _ends(first), spec, "sets"), spec), "links")
+    linked = materialize(
+        _confirmed(first, _sets(docs, _ends(first), spec, "sets"), spec).unionByName(same_id), "links")
     so_far = materialize(connected_components(linked), "components")
 
     here = buckets.join(so_far.select(F.col("vertex").alias("u"), "component"), "u", "left").select(

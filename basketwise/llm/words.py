@@ -1,7 +1,9 @@
 """Word and window hashes of whole Arrow text columns with numpy.
 
-Words are maximal runs of bytes outside space and 0x09-0x0D. Every word gets one 64-bit hash per seed,
-from prefix sums of a polynomial over its bytes, so no Python object is made per word.
+Words are maximal runs of bytes outside space and 0x09-0x0D. Every word gets one 64-bit hash per seed: its bytes go
+eight at a time through a bijective mixer, all words of a segment together, so no Python object is made per word. The
+mixer is not linear in any ring, so regular words (repeats, Thue-Morse sequences) collide no more often than others.
+Runs of words are hashed the same way from their halves.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SEGMENT = 1 << 18
 U64 = np.uint64
@@ -20,7 +23,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+LONG_WORD = 256
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
 
 
 class Words(NamedTuple):
@@ -31,22 +35,6 @@ class Words(NamedTuple):
     hashes: tuple[np.ndarray, ...]
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n (at least one segment, kept per process)."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, SEGMENT + 1)
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, dtype=U64)
-            p[0] = 1
-            both.append(np.cumprod(p, dtype=U64))
-        have = (both[0], both[1])
-        if size <= 4 * SEGMENT:
-            _powers[base] = have
-    return have
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer: spreads every input bit over the 64 output bits."""
     x = x ^ (x >> U64(31))
@@ -81,11 +69,21 @@ def word_spans(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends
 
 
-def _hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    up, down = powers(base, len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, dtype=U64)
-    np.cumsum((raw.astype(U64) + U64(1)) * up[:len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+def _hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int) -> np.ndarray:
+    """One hash a word; those over ``LONG_WORD`` bytes, which are rare, go through xxHash one by one."""
+    size = ends - starts
+    out = mix(size.astype(U64) + U64(key))
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    live = np.flatnonzero(size <= LONG_WORD)
+    at, left = starts[live], size[live]
+    while len(live):
+        out[live] = mix(out[live] ^ (eight[at] & LOW_BYTES[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG_WORD):
+        out[k] = xxhash.xxh3_64_intdigest(raw[starts[k]:ends[k]].tobytes(), seed=key)
+    return out
 
 
 def _long_text(raw: np.ndarray, seeds: int, lower: bool) -> tuple[np.ndarray, ...]:
@@ -128,17 +126,18 @@ def column_words(column: pa.Array, seeds: int = 1, lower: bool = False) -> Itera
         row = stop
 
 
-def windows(hashes: np.ndarray, size: int, base: int = BASES[0]) -> np.ndarray:
-    """Hash of every run of ``size`` consecutive words."""
+def windows(hashes: np.ndarray, size: int, key: int = BASES[0]) -> np.ndarray:
+    """Hash of every run of ``size`` consecutive words, joined from runs of 1, 2, 4 ... words."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=U64)
-    if size <= 8:
-        total = np.zeros(n, dtype=U64)
-        for j in range(size):
-            total = total * U64(base) + hashes[j:j + n]
-        return mix(total)
-    up, down = powers(base, len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, dtype=U64)
-    np.cumsum(hashes * up[:len(hashes)], out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * down[:n])
+    total, at, span, runs = None, 0, 1, hashes
+    while True:
+        if size & span:
+            part = runs[at:at + n]
+            total = part if total is None else mix(total * U64(key) + part)
+            at += span
+        if span * 2 > size:
+            return mix(total + U64(size))
+        runs = mix(runs[:-span] * U64(key) + runs[span:])
+        span *= 2

@@ -93,3 +93,27 @@ def test_group_without_one_centre(make_docs):
     want = brute(texts, 2)
     got = minhash.near_duplicates(make_docs(texts), minhash.NearDupSpec(shingle=2, ranked=40))
     assert sorted(map(tuple, got.collect())) == want and 5 < sum(r[3] for r in want) < 140
+
+
+def thue_morse(bits, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(1 << bits))
+
+
+def test_words_with_regular_bytes_stay_apart(make_docs):
+    """Words that collide under every polynomial modulo a power of two, and regular sequences of two words."""
+    texts = [thue_morse(11, "x", "y"), thue_morse(11, "y", "x"), thue_morse(11, "x ", "y "), thue_morse(11, "y ", "x "),
+             "q" * 255, "q" * 256, "q" * 257, "q" * 258, "aaaaaaaa", "aaaaaaaa\0", "aaaaaaa"]
+    for shingle in (2, 5, 20):
+        got = minhash.near_duplicates(make_docs(texts), minhash.NearDupSpec(shingle=shingle))
+        assert sorted(map(tuple, got.collect())) == brute(texts, shingle)
+
+
+def test_rows_that_share_an_id_are_one_vertex(spark):
+    words = [f"v{i}" for i in range(200)]
+    other = [f"o{i}" for i in range(200)]
+    rows = [(5, " ".join(other)), (5, " ".join(words)), (7, " ".join(words[:198] + ["z", "z2"])), (8, " ".join(other[2:])),
+            (9, "alone here now"), (4, " ".join(words)), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for shingle in (2, 5):
+        got = minhash.near_duplicates(docs, minhash.NearDupSpec(shingle=shingle)).filter("n_shingles > 0")
+        assert {(r[0], r[2]) for r in got.collect()} == {(5, 4), (7, 4), (8, 4), (9, 9), (4, 4)}

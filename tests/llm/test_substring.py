@@ -71,3 +71,14 @@ def test_text_longer_than_a_segment(make_docs):
     texts = [" ".join(words), " ".join(words[150_000:150_030]) + " tail"]
     got = substring.remove_repeats(make_docs(texts)).select("doc_id", "n_words", "n_removed")
     assert sorted(map(tuple, got.collect())) == [(0, 200_000, 0), (1, 31, 30)]
+
+
+def test_words_with_regular_bytes_are_not_mixed_up(make_docs):
+    def word(a, b):
+        return "".join(b if bin(i).count("1") % 2 else a for i in range(1 << 11))
+
+    common = [f"w{i}" for i in range(19)]
+    texts = [" ".join([*common, word("x", "y")]), " ".join([*common, word("y", "x")]),
+             word("p ", "q "), word("q ", "p "), " ".join([*common, word("y", "x")])]
+    got = substring.remove_repeats(make_docs(texts)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256))
+    assert sorted(map(tuple, got.collect())) == brute(list(enumerate(texts)), 20)
