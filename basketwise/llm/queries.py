@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from basketwise.llm import (
-    bpe, curve_packing, fingerprint, langid, licenses, minhash, rpforest, secret_scan, sharding, substring,
+    bpe, curve_packing, fingerprint, langid, licenses, minhash, ngram_join, rpforest, secret_scan, sharding, substring,
 )
 from basketwise.llm.tables import documents, table
 from basketwise.plans.registry import Registry
@@ -208,6 +208,38 @@ def op10_licenses(spark, sf):
     return licenses.scan(documents(spark, sf), anywhere=True)
 
 
+OP11_SQL = rf"""
+WITH RECURSIVE word AS (
+  SELECT doc_id, {WORD_LIST.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM word),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+member AS (SELECT doc_id, unnest(s) AS g FROM sets),
+shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS overlap
+  FROM member a JOIN member b ON a.g = b.g AND a.doc_id > b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT u, v FROM shared JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v
+  WHERE 100 * overlap >= 90 * (x.n + y.n - overlap)),
+edge AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+reach AS (
+  SELECT doc_id, doc_id AS c FROM sizes
+  UNION
+  SELECT edge.u, reach.c FROM reach JOIN edge ON edge.v = reach.doc_id)
+SELECT s.doc_id, s.n AS n_shingles, min(r.c) AS component_id
+FROM sizes s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.n
+"""
+
+
+@R.query("op11_ngram_join", OP11_SQL)
+def op11_ngram_join(spark, sf):
+    return ngram_join.linked_documents(documents(spark, sf), ngram_join.JoinSpec(shingle=3, percent=90))
+
+
 @R.query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
