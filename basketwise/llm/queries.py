@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from basketwise.llm import (
     bpe, curve_packing, fingerprint, langid, licenses, minhash, ngram_join, rpforest, secret_scan, sharding, substring,
+    whitening,
 )
 from basketwise.llm.tables import documents, table
 from basketwise.plans.registry import Registry
@@ -240,6 +241,11 @@ def op11_ngram_join(spark, sf):
     return ngram_join.linked_documents(documents(spark, sf), ngram_join.JoinSpec(shingle=3, percent=90))
 
 
+@R.query("op12_whitening")
+def op12_whitening(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
 @R.query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
