@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from basketwise.llm import (
-    bpe, curve_packing, fingerprint, langid, licenses, minhash, ngram_join, rpforest, secret_scan, sharding, substring,
-    whitening,
+    bpe, curve_packing, fingerprint, langid, licenses, minhash, ngram_join, prefix_trie, rpforest, secret_scan, sharding,
+    substring, whitening,
 )
 from basketwise.llm.tables import documents, table
 from basketwise.plans.registry import Registry
@@ -246,6 +246,50 @@ def op12_whitening(spark, sf):
     return whitening.whiten(table(spark, sf, "embeddings"))
 
 
+# CRC-32 of the decimal id, bit by bit
+CRC32 = """xor(list_reduce(
+    list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ord(x)::bigint)),
+    lambda crc, x: list_reduce(list_prepend(xor(crc, x), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+      lambda c, bit: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295::bigint)"""
+
+OP13_SQL = rf"""
+WITH ordered AS (
+  SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+part AS (SELECT conv_id, own, conv_id - conv_id % 100 AS base, {CRC32} % 6 AS h FROM ordered),
+talk AS (
+  SELECT part.conv_id, list_concat(coalesce(list_slice(b.own, 1, h), []), coalesce(list_slice(part.own, h + 1, len(part.own)), [])) AS turns
+  FROM part LEFT JOIN ordered b ON b.conv_id = base),
+prefix AS (
+  SELECT conv_id, len(turns) AS length, unnest(range(0, len(turns) + 1)) AS depth, turns FROM talk),
+member AS (SELECT conv_id, depth, length, list_slice(turns, 1, depth) AS path FROM prefix),
+node AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (length = depth), '')) AS ends_sha256
+  FROM member GROUP BY depth, path),
+family AS (
+  SELECT p.depth, p.path, count(*) AS n_children FROM node p JOIN node c
+  ON c.depth = p.depth + 1 AND list_slice(c.path, 1, p.depth) = p.path GROUP BY 1, 2),
+valued AS (
+  SELECT node.*, coalesce(n_children, 0) AS n_children,
+    CASE WHEN node.depth = 0 THEN 0 ELSE (n_convs - 1) * length(node.path[node.depth].t) END AS saved
+  FROM node LEFT JOIN family USING (depth, path)),
+total AS (
+  SELECT top.depth, top.path, count(*) FILTER (low.n_children = 0) AS n_leaves, sum(low.saved)::bigint AS saved_tokens
+  FROM valued top JOIN valued low ON low.depth >= top.depth AND list_slice(low.path, 1, top.depth) = top.path
+  GROUP BY 1, 2)
+SELECT v.conv_id, v.depth, up.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM valued v JOIN total USING (depth, path)
+LEFT JOIN node up ON up.depth = v.depth - 1 AND up.path = list_slice(v.path, 1, v.depth - 1)
+"""
+
+
+@R.query("op13_prefix_trie", OP13_SQL)
+def op13_prefix_trie(spark, sf):
+    return prefix_trie.trie(table(spark, sf, "conversations"))
+
+
 @R.query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
