@@ -67,8 +67,10 @@ def unwrap(raw: DataFrame) -> DataFrame:
     return raw.select(*rest, payload.alias("payload"), reason.alias("fetch_reason"))
 
 
-def snapshot_id(source: str, id_col: Column, fetched_at: Column) -> Column:
-    return F.concat_ws(":", F.lit(source), id_col.cast("string"), fetched_at)
+def snapshot_id(source: str, raw_id: Column, fetched_at: Column) -> Column:
+    """``source:id:time`` with the id as it was fetched, whole number or not, so that records without a usable id stay
+    apart."""
+    return F.concat_ws(":", F.lit(source), raw_id.cast("string"), fetched_at)
 
 
 def owner_id(owner: Column) -> Column:
@@ -358,21 +360,25 @@ def curate(raw: DataFrame, rules: CurationRules, position: str = "position",
            known_items: DataFrame | None = None, known_rejected: DataFrame | None = None) -> dict[str, DataFrame]:
     """Raw fetch log to ``accepted``, ``rejected``, ``items``, ``lines`` and ``violations``.
 
-    ``history`` holds ``(entity_id, fingerprint)`` of earlier runs: known ids are skipped, known
-    baskets rejected as duplicates. ``known_rejected`` (``snapshot_id``) are skipped, ``known_items`` (``item_id``)
-    are not written again. ``ingested_at`` stands in for a missing fetch time, once the latest record of
+    ``history`` holds ``(entity_id, snapshot_id, fingerprint)`` of earlier runs: known ids and snapshots are skipped,
+    known baskets rejected as duplicates. ``known_rejected`` (``snapshot_id``) are skipped, so a record that is
+    delivered again changes nothing, whether it was accepted or rejected and whether or not its id is a whole number.
+    A record without any id is named by its address. ``known_items`` (``item_id``) are not written again. ``ingested_at`` stands in for a missing fetch time, once the latest record of
     every id is chosen: an undated record never wins over a dated one.
 
     Latest records, lines, judgements and the deduplicated baskets are each stored once in the shared
     folder: five outputs hang off them, and without a stored stage every output would parse the raw
     log again. Everything is keyed by the stored record, since ids may be missing.
     """
-    keyed = raw.withColumn("entity_id", whole_id(F.col("deck_id").cast("string"))).drop("deck_id")
+    raw_id = F.col("deck_id").cast("string")
+    keyed = raw.withColumns({"entity_id": whole_id(raw_id), "__raw_id": F.coalesce(
+        F.nullif(raw_id, F.lit("")), F.col("detail_url"), F.lit(""))}).drop("deck_id")
     latest = latest_records(keyed, "entity_id", [F.col("response.updatedAt"), F.col("fetched_at")], F.col(position))
     latest = latest.withColumn("fetched_at", F.coalesce(F.nullif("fetched_at", F.lit("")), F.lit(ingested_at))).withColumn(
-        "snapshot_id", snapshot_id(rules.source, F.col("entity_id"), F.col("fetched_at")))
+        "snapshot_id", snapshot_id(rules.source, F.col("__raw_id"), F.col("fetched_at"))).drop("__raw_id")
     if history is not None:
-        latest = skip_existing(latest, history, ["entity_id"])
+        for key in {"entity_id", "snapshot_id"} & set(history.columns):
+            latest = skip_existing(latest, history, [key])
     if known_rejected is not None:
         latest = skip_existing(latest, known_rejected, ["snapshot_id"])
     unwrapped = materialize(unwrap(latest).withColumn("record_id", F.monotonically_increasing_id()), "curate-records")

@@ -109,6 +109,22 @@ def test_stream_equals_batch_and_second_run_adds_nothing(spark, tmp_path):
         assert rows(inc.read_table(spark, f"{out}/{name}"), *cols) == rows(batch[name], *cols)
 
 
+def test_records_without_whole_ids_stay_apart_over_batches(spark, tmp_path):
+    """Two id-less records of one day: neither hides the other, and a second delivery changes nothing."""
+    def lost(name, own):
+        return {**record(1, own), "deck_id": name, "detail_url": f"u/{name}", "fetched_at": "2025-02-01T00:00:00Z"}
+
+    one, two, none = lost("x1", deck(private=True)), lost("x2", deck()), {**lost("x3", deck(unlisted=True)), "deck_id": None}
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    for k, arriving in enumerate(([one], [two, one, none], [two, one, none, lost("x4", deck())])):
+        write(tmp_path / "in" / f"{k}.jsonl", arriving)
+        inc.curate_stream(inc.file_stream(spark, str(tmp_path / "in"), RAW_DETAILS), RULES, out, ckpt, "2025-03-01")
+    accepted = rows(inc.read_table(spark, f"{out}/accepted"), "entity_id", "snapshot_id")
+    assert accepted == [(None, "source:x2:2025-02-01T00:00:00Z")]
+    assert rows(inc.read_table(spark, f"{out}/rejected"), "source_url", "rejection_reasons") == [
+        ("u/x1", ["private"]), ("u/x3", ["unlisted"]), ("u/x4", ["duplicate_card_list"])]
+
+
 def test_fingerprints_have_one_form(spark):
     data = [(1, "a", 1), (1, "b", 2), (2, "b", 2), (2, "a", 1), (3, "a", 1), (3, "b", 3), (4, "a", 1), (4, "a", 1)]
     lines = spark.createDataFrame(data, "entity_id long, item_id string, quantity int")
