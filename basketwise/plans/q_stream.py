@@ -77,3 +77,61 @@ FROM events GROUP BY ALL""")
 def window_counts(spark, sf):
     counted = inc.window_counts(t.table(spark, sf, "events"), "ts", ["event_type"], "1 day", "value")
     return rounded(counted.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", "total"), 4)
+
+
+# Events arrive in three deliveries of ten days. One in 40 comes a delivery late: those of the last two days of a delivery
+# still meet the watermark, earlier ones do not.
+ARRIVALS = """e AS (
+  SELECT *, least((extract(day FROM ts) - 1) // 10, 2) AS tenth FROM events),
+arrived AS (SELECT *, least(tenth + CASE WHEN event_id % 40 = 0 THEN 1 ELSE 0 END, 2) AS batch FROM e),
+mark AS (SELECT b.batch, max(a.ts) - INTERVAL 2 DAY AS mark FROM (SELECT unnest([1, 2, 3]) AS batch) b JOIN arrived a ON a.batch < b.batch GROUP BY b.batch)"""
+
+
+def _deliveries(spark, sf, out, run, again=None):
+    """Write the three deliveries one after the other and run the stream after each; ``again`` picks rows that are
+    delivered once more one delivery later."""
+    events = t.table(spark, sf, "events")
+    tenth = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
+    late = F.when(F.col("event_id") % 40 == 0, 1).otherwise(0)
+    arrived = events.withColumn("batch", F.least(tenth + late, F.lit(2)).cast("int"))
+    reports = []
+    for k in range(3):
+        rows = arrived.filter(F.col("batch") == k)
+        if again is not None and k:
+            rows = rows.unionByName(arrived.filter((F.col("batch") == k - 1) & again))
+        rows.drop("batch").write.mode("append").parquet(f"{out}/in")
+        reports += run(inc.file_stream(spark, f"{out}/in", events.schema, "parquet").withColumn("ts", F.col("ts").cast("timestamp")))
+    return reports
+
+
+@R.query("stream_windows", f"""WITH {ARRIVALS}
+SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total
+FROM arrived LEFT JOIN mark USING (batch)
+WHERE (mark IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > mark)
+  AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT mark FROM mark WHERE batch = 3) GROUP BY ALL""")
+def stream_windows(spark, sf):
+    """Finished windows over three deliveries: late rows inside the delay count, those beyond it are dropped."""
+    out = scratch_path(spark, "stream-windows")
+    _deliveries(spark, sf, out, lambda stream: inc.window_stream(
+        stream, "ts", ["event_type"], f"{out}/rows", f"{out}/checkpoint", "1 day", "value", "2 days"))
+    rows = spark.read.parquet(f"{out}/rows")
+    return rounded(rows.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", "total"), 4)
+
+
+@R.query("stream_unique", f"""WITH {ARRIVALS}
+SELECT event_id, CAST(epoch_us(ts) AS BIGINT) AS ts_us FROM arrived LEFT JOIN mark USING (batch) WHERE mark IS NULL OR ts > mark""")
+def stream_unique(spark, sf):
+    """Every event once, though a third of each delivery comes again with the next one; late ones beyond the delay drop out."""
+    out = scratch_path(spark, "stream-unique")
+    _deliveries(spark, sf, out, lambda stream: inc.unique_stream(
+        stream, ["event_id"], "ts", f"{out}/rows", f"{out}/checkpoint", "2 days"), again=F.col("event_id") % 3 == 0)
+    return spark.read.parquet(f"{out}/rows").select("event_id", F.unix_micros("ts").alias("ts_us"))
+
+
+@R.query("stream_totals", "SELECT event_type, user_id % 50 AS band, count(*) AS n FROM events GROUP BY ALL")
+def stream_totals(spark, sf):
+    """Running totals over three deliveries, each run starting anew from the checkpoint."""
+    out = scratch_path(spark, "stream-totals")
+    _deliveries(spark, sf, out, lambda stream: inc.totals_stream(
+        stream.withColumn("band", F.col("user_id") % 50), ["event_type", "band"], f"{out}/rows", f"{out}/checkpoint"))
+    return inc.current_totals(spark, f"{out}/rows", ["event_type", "band"])
