@@ -163,23 +163,20 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, spec: JoinSpec) -> DataFrame:
     return id_text(docs).mapInArrow(run, PREFIXES)
 
 
-def _entries(reps: DataFrame, levels: np.ndarray, spec: JoinSpec) -> DataFrame:
-    """``element, u, pos, size`` of every prefix; an n-gram that was counted once has no partner and is left out."""
-    shared = reps.sparkSession.sparkContext.broadcast(levels)  # 2**cell_bits bytes
+def _entries(reps: DataFrame) -> DataFrame:
+    """``element, u, pos, size`` of every prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             own = [np.frombuffer(p.as_buffer(), dtype=U64) for p in batch.column(2)]
             length = np.array([len(p) for p in own])
             flat = np.concatenate(own)
-            keep = level[(flat >> U64(64 - spec.cell_bits)).astype(np.int64)] > 1
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
             columns = (flat.view(np.int64), np.repeat(batch.column(0).to_numpy(), length), pos.astype(np.int32),
                        np.repeat(batch.column(1).to_numpy(), length))
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=["element", "u", "pos", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["element", "u", "pos", "size"])
 
     return reps.select("cls", "size", "prefix").mapInArrow(run, "element long, u long, pos int, size int")
 
@@ -310,10 +307,11 @@ def prepare(docs: DataFrame, spec: JoinSpec) -> Prepared:
     reps = materialize(
         _prefixes(docs, levels, spec).join(classes.withColumnRenamed("rep", "doc_id"), keys).dropDuplicates(keys)
         .select("cls", "size", "prefix", "spread"), "reps")
-    entries = _entries(reps, levels, spec)
+    entries = _entries(reps)
     # the member that has the n-gram earliest has the fewest rarer ones: the likeliest centre of a group of near copies
-    shared = entries.groupBy("element").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "u", "size")).alias("pivot")).filter("n > 1")
+    # (stored, so that the join with it can split a hot n-gram)
+    shared = materialize(entries.groupBy("element").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "u", "size")).alias("pivot")).filter("n > 1"), "shared")
     met = materialize(entries.join(shared, "element").select(
         "element", "u", "pos", "size", F.col("pivot.u").alias("v"), F.col("pivot.pos").alias("pos_v"),
         F.col("pivot.size").alias("size_v")), "met")
@@ -369,7 +367,8 @@ def linked_documents(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
     place = classes.join(so_far.withColumnRenamed("vertex", "rep"), "rep", "left").select(
         F.col("cls").alias("u"), F.coalesce("component", "rep").alias("c"))
     here = made.met.select("element", "u", "pos", "size").join(place, "u")
-    mixed = here.groupBy("element").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("element")
+    mixed = materialize(here.groupBy("element").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+                        .filter("lo <> hi").select("element"), "mixed")
     open_entries = materialize(here.join(mixed, "element"), "open")
     crossed = _once(_partners(open_entries, spec, "c1 <> c2")).join(tried.select("u", "v"), ["u", "v"], "left_anti")
     rest = materialize(_suffix_filter(crossed, made.reps, spec), "pairs")
