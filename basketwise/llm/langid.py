@@ -8,10 +8,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketwise.llm.tables import id_text, small_batches
+from basketwise.llm.tables import id_text, small_batches, smallest_hashes
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -158,9 +158,9 @@ def train(docs: DataFrame, spec: LangSpec = LangSpec()) -> LanguageModel:
     known = typed.filter(learnable(typed) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, n = document_frequencies(known, spec.features)
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
-    ids = known.filter(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang").withColumn(
-        "place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))) \
-        .filter(F.col("place") <= spec.per_language).orderBy("place", "lang").limit(spec.sample).select("doc_id", "lang")
+    lettered = known.filter(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang")
+    ids = smallest_hashes(lettered, "lang", F.xxhash64("doc_id"), ["doc_id"], spec.per_language) \
+        .orderBy("place", "lang").limit(spec.sample).select("doc_id", "lang")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketwise.llm.tables import materialize
+from basketwise.llm.tables import materialize, smallest_hashes
 
 CANDIDATE = r"[A-Za-z0-9+/_.\-]{16,}"
 TRIMMED = r"^[./\-]+|[./\-]+$"
@@ -188,9 +188,9 @@ def train(labelled: DataFrame, spec: SecretSpec = SecretSpec()) -> RandomForestC
     """Fit on rows with ``FEATURES`` and ``label`` (0, 1; null rows are left out): ``spec.per_label`` rows of each
     label at most, those with the smallest hash. None if only one label occurs, since there is nothing to tell apart;
     :func:`judge` then goes by the rules alone."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64("secret", "doc_id", "word_no"), "secret", "doc_id", "word_no", "part")
-    rows = (labelled.filter("label is not null").withColumn("place", F.row_number().over(order))
-            .filter(F.col("place") <= spec.per_label).select(*FEATURES, "label", "place"))
+    rows = smallest_hashes(
+        labelled.filter("label is not null"), "label", F.xxhash64("secret", "doc_id", "word_no"),
+        ["secret", "doc_id", "word_no", "part"], spec.per_label).select(*FEATURES, "label", "place")
     rows = materialize(rows.orderBy("label", "place").coalesce(1), "labelled")
     if rows.select("label").distinct().count() < 2:
         return None
