@@ -67,14 +67,14 @@ def require_labels(df: DataFrame, label: str) -> DataFrame:
 
 def infer_feature_columns(df: DataFrame, deny: Sequence[str] = DENY_COLUMNS,
                           deny_prefixes: Sequence[str] = DENY_PREFIXES) -> list[str]:
-    """Sorted numeric and boolean columns, plus text columns in which every value reads as a number.
-    Text columns are tested together in one aggregate row."""
+    """Sorted numeric and boolean columns, plus text columns in which every value reads as a number; an empty text is
+    no number. Text columns are tested together in one aggregate row."""
     allowed = [f for f in df.schema.fields if f.name not in deny and not f.name.startswith(tuple(deny_prefixes))]
     numeric = [f.name for f in allowed if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
     texts = [f.name for f in allowed if isinstance(f.dataType, T.StringType)]
     if texts:
         row = df.agg(*[
-            (F.count_if(F.col(c).isNotNull() & (F.col(c) != "") & F.col(c).try_cast("double").isNull()) == 0)
+            (F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()) == 0)
             .alias(c) for c in texts
         ]).first()
         numeric += [c for c in texts if row[c]]

@@ -44,6 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _made: list[str] = []
+_tables: list[str] = []
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -54,6 +55,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def release(spark: SparkSession) -> None:
     """Delete the stored intermediates of this process, once no result that reads them is needed any more."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     jvm = spark.sparkContext._jvm
     while _made:
         path = jvm.org.apache.hadoop.fs.Path(_made.pop())
@@ -65,3 +68,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, label: str, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """Write ``df`` once as a table hashed and sorted by ``keys``; joins of such tables on all of these keys move no rows.
+
+    The files lie in the shared folder, one a bucket; the entry in the session's catalogue goes with :func:`release`.
+    Both sides of a join need the same number of buckets (default: the session's shuffle partitions).
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", scratch_path(spark, label)) \
+        .format("parquet").saveAsTable(name)
+    _tables.append(name)
+    return spark.table(name)

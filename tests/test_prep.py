@@ -24,6 +24,8 @@ def test_filter_reasons_and_label_pick(spark):
 def test_feature_inference(spark):
     df = spark.createDataFrame([(1, 2.0, True, "3", "x", 4, 5)], "y1 int, b double, a boolean, num string, txt string, epl_x int, deck_id int")
     assert prep.infer_feature_columns(df) == ["a", "b", "num"]
+    gaps = spark.createDataFrame([("1", "1", None), ("", None, None)], "empty string, missing string, never string")
+    assert prep.infer_feature_columns(gaps) == ["missing", "never"]
 
 
 def test_dense_stage_learns_from_train_only(spark, tmp_path):
