@@ -19,7 +19,7 @@ def con():
 
 
 # minutes of model fits each: tools/check_oracles.py compares them, test_pipeline.py tests their functions on small data
-LONG = {"model_spot_check", "model_nested_cv", "model_resume", "model_grouped_run"}
+LONG = {"model_spot_check", "model_nested_cv", "model_resume", "model_grouped_run", "model_oof_scores"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.ORACLES) - LONG))
