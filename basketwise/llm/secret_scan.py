@@ -116,28 +116,8 @@ def _share(secret: Column, kind: str) -> Column:
     return F.length(F.regexp_replace(secret, f"[^{kind}]+", "")) / F.length(secret)
 
 
-def featured(found: DataFrame, docs: DataFrame, spec: SecretSpec) -> DataFrame:
-    """Candidates with the numeric columns ``FEATURES``.
-
-    ``dictionary`` is the share of the candidate's letters in runs of three or more that the corpus uses as
-    words: in a share of the distinct texts, outside candidates, so that neither copies of a text or key nor the
-    size of the corpus make a key's runs known. Words are combined before the shuffle and meet only the distinct
-    runs of the candidates.
-    """
-    texts = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
-    plain = F.lower(F.regexp_replace("text", CANDIDATE, " "))
-    runs = F.filter(F.split(F.lower("secret"), r"[^\p{L}]+"), lambda x: F.length(x) >= 3)
-    wanted = found.select(F.explode(runs).alias("word")).distinct()
-    own = F.filter(F.array_distinct(F.split(plain, r"[^\p{L}]+")), lambda x: F.length(x) >= 3)
-    # the empty word stands in every text and so counts the texts
-    counts = materialize(texts.select(F.explode(F.array_append(own, F.lit(""))).alias("word"))
-                         .groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
-    n_texts = counts.filter("word = ''").select(F.col("n").alias("n_texts"))  # one row
-    often = counts.crossJoin(F.broadcast(n_texts)).filter(F.col("n") >= F.col("n_texts") * spec.known_share)
-    known = wanted.join(often, "word", "left_semi")
-    texts_of = found.select("secret").distinct()
-    covered = (texts_of.select("secret", F.explode(runs).alias("word")).join(known, "word")
-               .groupBy("secret").agg(F.sum(F.length("word")).alias("covered")))
+def _shaped(found: DataFrame) -> DataFrame:
+    """Candidates with those of ``FEATURES`` that their own characters, words and neighbours give."""
     s, before = F.col("secret"), F.col("before")
     one = lambda c: c.cast("double")
     last = F.regexp_replace(F.regexp_replace(before, r"[\"'=:\s]+$", ""), r"^.*[\s\"'=:]", "")
@@ -145,7 +125,7 @@ def featured(found: DataFrame, docs: DataFrame, spec: SecretSpec) -> DataFrame:
     told = F.lower(F.regexp_replace(inner, r"[\"'`=:>({\[]+$", ""))
     name = F.when(told == "", last).otherwise(told)
     word_at = F.col("word")
-    return found.join(covered, "secret", "left").select(
+    return found.select(
         "doc_id", "word_no", "part", "secret",
         one(F.length(s)).alias("length"),
         ((F.size(F.split(s, r"(?<=[0-9])(?=[^0-9])|(?<=[A-Z])(?=[^A-Z])|(?<=[a-z])(?=[^a-z])")) - 1)
@@ -155,7 +135,6 @@ def featured(found: DataFrame, docs: DataFrame, spec: SecretSpec) -> DataFrame:
         (F.size(F.array_distinct(F.split(s, ""))) / F.length(s)).alias("variety"),
         (F.size(F.regexp_extract_all(F.lower(s), F.lit(r"([bcdfghjklmnpqrstvwxz]{4,})"), 1)) / F.length(s))
         .alias("consonant_runs"),
-        (F.coalesce("covered", F.lit(0)) / F.length(s)).alias("dictionary"),
         one(F.size(F.split(s, "/")) - 1).alias("path_parts"), one(F.size(F.split(s, r"\.")) - 1).alias("dots"),
         one(s.rlike(r"\.[A-Za-z]{2,5}$")).alias("extension"), one(word_at.rlike(r"([\w.+\-]+@[\w\-]+[.]|://|www[.])")).alias("web_before"),
         one(name.rlike(NAME + "$")).alias("keyword_near"),
@@ -167,6 +146,35 @@ def featured(found: DataFrame, docs: DataFrame, spec: SecretSpec) -> DataFrame:
         one(F.col("block")).alias("pem_block"))
 
 
+def featured(found: DataFrame, docs: DataFrame, spec: SecretSpec) -> DataFrame:
+    """Candidates with the numeric columns ``FEATURES``.
+
+    ``dictionary`` is the share of the candidate's letters in runs of three or more that the corpus uses as
+    words: in a share of the distinct texts, outside candidates, so that neither copies of a text or key nor the
+    size of the corpus make a key's runs known. Words are combined before the shuffle and meet only the distinct
+    runs of the candidates. The texts are searched for candidates once: what their words and neighbours tell is
+    stored as numbers, without the words themselves.
+    """
+    found = materialize(_shaped(found), "candidates")
+    texts = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
+    plain = F.lower(F.regexp_replace("text", CANDIDATE, " "))
+    runs = F.filter(F.split(F.lower("secret"), r"[^\p{L}]+"), lambda x: F.length(x) >= 3)
+    wanted = found.select(F.explode(runs).alias("word")).distinct()
+    own = F.filter(F.array_distinct(F.split(plain, r"[^\p{L}]+")), lambda x: F.length(x) >= 3)
+    # the empty word stands in every text and so counts the texts
+    counts = materialize(texts.select(F.explode(F.array_append(own, F.lit(""))).alias("word"))
+                         .groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    n_texts = counts.filter("word = ''").select(F.col("n").alias("n_texts"))  # one row
+    often = counts.crossJoin(F.broadcast(n_texts)).filter(F.col("n") >= F.col("n_texts") * spec.known_share)
+    known = wanted.join(often, "word", "left_semi")
+    texts_of = found.select("secret").distinct()
+    covered = (texts_of.select("secret", F.explode(runs).alias("word")).join(known, "word")
+               .groupBy("secret").agg(F.sum(F.length("word")).alias("covered")))
+    dictionary = (F.coalesce("covered", F.lit(0)) / F.length("secret")).alias("dictionary")
+    rest = [dictionary if x == "dictionary" else F.col(x) for x in FEATURES]
+    return found.join(covered, "secret", "left").select("doc_id", "word_no", "part", "secret", *rest)
+
+
 def weak_labels(found: DataFrame) -> DataFrame:
     """Labelled findings where a team has none of its own: ``label`` 1, 0, or null if neither rule speaks.
 
