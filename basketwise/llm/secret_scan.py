@@ -34,9 +34,16 @@ BODY = r"^[A-Za-z0-9+/]+=*$"
 FORMAT = (r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_\-]{20,}"
           r"|xox[abeoprs]-[A-Za-z0-9\-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}|npm_[A-Za-z0-9]{36}"
           r"|SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]*)?)$")
+# neighbouring words that name a checksum, a revision or another public identifier, as whole parts of a name
+PUBLIC = (r"(?<![a-z0-9])(?:commit|revision|sha-?[0-9]{0,3}|sha[0-9]{1,3}sum|md5|md5sum|checksum|digest"
+          r"|(?<!pass[_\-])(?<!password[_\-])hash|etag|fingerprint|uuid|guid)(?:e?s)?(?![a-z0-9])")
+# stand-ins that documentation shows instead of a value
+STAND_IN = (r"(?i)example|sample|dummy|placeholder|change_?-?me|change_?-?this|your[_\-]|[_\-]here|redacted|x{4,}|\*{3,}"
+            r"|^\$|^%.*%$|^<.*>$|^\[.*\]$|^\{.*\}$|^(?:0?1234567|abcdef|qwerty)|(.)\1{5,}")
 FEATURES = ("length", "transitions", "digit_share", "upper_share", "hex_only", "digits_only", "variety",
             "consonant_runs", "dictionary", "path_parts", "dots", "extension", "web_before", "keyword_near",
-            "assigned", "quoted", "plain_words_near", "known_format", "login", "pem_block")
+            "assigned", "quoted", "plain_words_near", "known_format", "login", "pem_block",
+            "public_near", "stand_in")
 
 
 @dataclass(frozen=True)
@@ -143,7 +150,9 @@ def _shaped(found: DataFrame) -> DataFrame:
         one(F.size(F.filter(F.split(F.concat_ws(" ", before, F.col("after")), " "),
                             lambda x: x.rlike(r"^\p{L}+[,.]?$")))).alias("plain_words_near"),
         one(s.rlike(FORMAT)).alias("known_format"), one(F.array_contains("passwords", s)).alias("login"),
-        one(F.col("block")).alias("pem_block"))
+        one(F.col("block")).alias("pem_block"),
+        one(before.rlike(PUBLIC) | F.lower(inner).rlike(PUBLIC) | F.col("after").rlike(PUBLIC)).alias("public_near"),
+        one(s.rlike(STAND_IN)).alias("stand_in"))
 
 
 def featured(found: DataFrame, docs: DataFrame, spec: SecretSpec) -> DataFrame:
@@ -179,19 +188,27 @@ def weak_labels(found: DataFrame) -> DataFrame:
     """Labelled findings where a team has none of its own: ``label`` 1, 0, or null if neither rule speaks.
 
     1: a published key format, a line of a private key block, the password of a URL, or a value of six or more
-    characters that a keyword assigns, that mixes letters and digits and is no web address or file. 0: letters only
-    (unless a keyword assigns them and they are no words), digits only, a web or mail address, or dictionary words
-    with nothing assigned.
+    characters that a keyword assigns, that mixes letters and digits, is no web address, file or stand-in
+    and has no word for checksums or revisions next to it. 0: letters only (unless a keyword assigns them and
+    they are no words), digits only, a web or mail address, dictionary words with nothing assigned, a stand-in, or
+    hexadecimal digits next to a word for checksums or revisions that no keyword assigns. Published formats count
+    whatever stands around them.
     """
     mixed = (F.col("digit_share") > 0.1) & (F.col("digit_share") < 0.9) & (F.col("web_before") == 0)
     named = (F.col("keyword_near") == 1) & (F.col("assigned") == 1)
-    yes = ((F.col("known_format") == 1) | (F.col("login") == 1) | (F.col("pem_block") == 1)
-           | (named & mixed & (F.col("extension") == 0) & (F.col("length") >= 6)))
+    public = (F.col("public_near") == 1) | (F.col("stand_in") == 1)
+    yes = certain() | (named & mixed & ~public & (F.col("extension") == 0) & (F.col("length") >= 6))
     no = (((F.col("digit_share") == 0) & ~(named & (F.col("dictionary") <= 0.5))) | (F.col("digits_only") == 1)
-          | (F.col("web_before") == 1) | ((F.col("dictionary") > 0.5) & (F.col("assigned") == 0)))
+          | (F.col("web_before") == 1) | ((F.col("dictionary") > 0.5) & (F.col("assigned") == 0))
+          | (F.col("stand_in") == 1) | ((F.col("public_near") == 1) & (F.col("hex_only") == 1) & ~named))
     return found.withColumn("label", F.when(yes, 1.0).when(no, 0.0))
 
 
+def certain() -> Column:
+    """What no forest takes back: published key formats, lines of private key blocks, passwords of URLs but stand-ins."""
+    return (F.col("known_format") == 1) | (F.col("pem_block") == 1) | ((F.col("login") == 1) & (F.col("stand_in") == 0))
+
+
 def train(labelled: DataFrame, spec: SecretSpec = SecretSpec()) -> RandomForestClassificationModel | None:
     """Fit on rows with ``FEATURES`` and ``label`` (0, 1; null rows are left out): ``spec.per_label`` rows of each
     label at most, those with the smallest hash. None if only one label occurs, since there is nothing to tell apart;
@@ -224,25 +241,28 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, spec: SecretSpec =
 
     Gives ``doc_id, word_no`` (place among the words between white space), ``part`` (within the word),
     ``secret``, the ``FEATURES``, ``probability`` and ``is_secret``. ``labelled`` holds findings with ``FEATURES``
-    and ``label``; without it :func:`weak_labels` labels the findings themselves, and what its rules label 1 is a
-    secret whatever the forest says. Null and empty texts have
-    no candidates; rows are independent, repeated rows give repeated findings; other columns are ignored;
-    an empty table gives no rows.
+    and ``label``; with them the forest decides alone, also against a keyword that assigns the value, and only what is
+    :func:`certain` stays a secret whatever it says. Without them :func:`weak_labels` labels the findings themselves;
+    then the forest has nothing to say against its own teacher: it judges what the rules leave open, and what
+    they label 1 is a secret. Null and empty texts have no candidates; rows are independent, repeated rows give
+    repeated findings; other columns are ignored; an empty table gives no rows.
     """
     found = materialize(featured(candidates(docs), docs, spec), "findings")
     if labelled is not None:
-        return judge(found, train(labelled, spec), spec)
+        judged = judge(found, train(labelled, spec), spec)
+        return judged.withColumn("is_secret", F.col("is_secret") | certain())
     judged = weak_labels(judge(found, train(weak_labels(found), spec), spec))
     return judged.withColumn("is_secret", F.col("is_secret") | F.coalesce(F.col("label") == 1, F.lit(False))).drop("label")
 
 
-def mask(docs: DataFrame, spec: SecretSpec = SecretSpec(), mark: str = "[secret]") -> DataFrame:
+def mask(docs: DataFrame, spec: SecretSpec = SecretSpec(), mark: str = "[secret]",
+         labelled: DataFrame | None = None) -> DataFrame:
     """``docs`` with every confirmed secret replaced by ``mark`` in its document; ``n_chars``, if present, follows.
 
-    All rows and columns stay; a text without secrets is unchanged. Longer secrets are replaced first; those under
+    ``labelled`` as in :func:`scan`. All rows and columns stay; a text without secrets is unchanged. Longer secrets are replaced first; those under
     16 characters only where no letter or digit touches them.
     """
-    hits = (scan(docs, spec=spec).filter("is_secret and doc_id is not null").select("doc_id", "secret").distinct()
+    hits = (scan(docs, labelled, spec).filter("is_secret and doc_id is not null").select("doc_id", "secret").distinct()
             .groupBy(F.col("doc_id").alias("__doc"))
             .agg(F.sort_array(F.collect_list(F.struct(-F.length("secret"), "secret"))).alias("__secrets")))
     both = docs.join(hits, docs["doc_id"].cast("bigint") == hits["__doc"], "left")

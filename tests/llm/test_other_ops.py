@@ -273,6 +273,63 @@ def test_labelled_findings_can_be_given(make_docs):
     assert {r["doc_id"] for r in rows} == {i for i in secrets if i >= 120}
 
 
+def test_given_labels_overrule_the_rules(make_docs):
+    """Names that look like keywords but hold public hashes: labelled findings teach the forest to let them go."""
+    rng = random.Random(11)
+    mix = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    texts, true = [], {}
+    for i in range(300):
+        words = [rng.choice(["some", "quiet", "words", "run", "here"]) for _ in range(12)]
+        if i % 3 == 0:
+            true[i] = mix(rng.randrange(18, 40))
+            words[5] = f'{rng.choice(["password", "auth_token", "api_key"])} = "{true[i]}"'
+        elif i % 3 == 1:  # rule positives that a team has marked as harmless
+            words[5] = f'{rng.choice(["cache_key", "token", "api_key"])} = "{"".join(rng.choice("0123456789abcdef") for _ in range(40))}"'
+        else:
+            words[5] = f"see https://example.com/articles/{mix(20)}"
+        texts.append(" ".join(words))
+    texts[-1] = f"the key AKIA{'Q7' * 8} leaked"  # a published format stays a secret, whatever the labels teach
+    true[299] = "AKIA" + "Q7" * 8
+    docs = make_docs(texts)
+    found = secret_scan.featured(secret_scan.candidates(docs), docs, secret_scan.SecretSpec())
+    own = found.withColumn("label", F.col("doc_id").isin(*[i for i in true if i < 150]).cast("double")).filter("doc_id < 150")
+    got = {(r["doc_id"], r["secret"]) for r in secret_scan.scan(docs, own).filter("doc_id >= 150 and is_secret").collect()}
+    want = {(i, v) for i, v in true.items() if i >= 150}
+    assert len(got & want) / len(want) >= 0.95 and len(got & want) / len(got) >= 0.95 and (299, true[299]) in got
+    ruled = {(r["doc_id"], r["secret"]) for r in secret_scan.weak_labels(found).filter("doc_id >= 150 and label = 1").collect()}
+    assert len(ruled & want) / len(ruled) < 0.6
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.mask(docs, labelled=own).collect()}
+    assert all(masked[i] == texts[i].replace(v, "[secret]") for i, v in want if (i, v) in got)
+
+
+def test_public_hashes_and_stand_ins_are_no_secrets(make_docs):
+    sha = "3f786850e387550fdab836ed7e6dc881de23001b"
+    clean = [f"commit {sha} mends it", f'sha1 = "{sha}" of the file', "set password=changeme1 first",
+             'api_key = "your_api_key_123"', "see postgres://user:example1@host/db"] + [
+             f"see https://example.com/a/page/number/{i}/of/many and go" for i in range(10)]
+    held = ['token = "9d4e1e23bd5b727046a9e3b4b7db57bd8d6ee684" works', "postgres://user:pa55wd@host/db"]
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.mask(make_docs(clean + held)).collect()}
+    assert [masked[i] for i in range(len(clean))] == clean
+    assert [masked[len(clean)], masked[len(clean) + 1]] == ['token = "[secret]" works', "postgres://user:[secret]@host/db"]
+
+
+def test_features_of_characters_against_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    share = lambda s, kind: len(re.findall(f"[{kind}]", s)) / len(s)
+    rows = secret_scan.featured(secret_scan.candidates(docs), docs, secret_scan.SecretSpec()).collect()
+    assert len(rows) > 20
+    for r in rows:
+        s = r["secret"]
+        kind = ["0" if c in "0123456789" else "A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else c for c in s]
+        left = sum(1 for a, b in zip(kind, kind[1:]) if a != b and a in "0Aa")
+        want = {"length": len(s), "transitions": left / len(s), "digit_share": share(s, "0-9"), "upper_share": share(s, "A-Z"),
+                "hex_only": bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", s)), "digits_only": bool(re.fullmatch(r"[0-9.\-]+", s)),
+                "variety": len(set(s)) / len(s), "path_parts": s.count("/"), "dots": s.count("."),
+                "consonant_runs": len(re.findall("[bcdfghjklmnpqrstvwxz]{4,}", s.lower())) / len(s),
+                "extension": bool(re.search(r"\.[A-Za-z]{2,5}$", s))}
+        assert {k: r[k] for k in want} == pytest.approx({k: float(v) for k, v in want.items()}), s
+
+
 def test_secrets_odd_rows(odd_docs, no_docs):
     assert secret_scan.scan(odd_docs).count() == 0 and secret_scan.scan(no_docs).count() == 0
     out = secret_scan.mask(odd_docs)
