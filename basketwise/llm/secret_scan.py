@@ -109,6 +109,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     held = F.transform(F.regexp_extract_all("word", F.lit(INSIDE), 1), lambda x: F.regexp_replace(x, r"[.:!?]+$", ""))
     logins = F.regexp_extract_all("word", F.lit(LOGIN), 1)
     whole = F.regexp_replace(F.regexp_replace("word", r"^[\"'`(<\[{]+", ""), r"[\"'`)>\]},;.:!?]+$", "")
+    # a quoted value ends at its quote, whatever follows in the word
+    inside = F.regexp_extract("word", r"^[(<\[{]*([\"'`])(.+?)\1", 2)
+    whole = F.when(inside != "", inside).otherwise(whole)
     others = F.concat(held, logins, F.when(F.col("named"), F.array(whole)).otherwise(empty),
                       F.when(F.col("block"), F.array(F.regexp_replace("word", "=+$", ""))).otherwise(empty))
     near = near.select("*", runs.alias("runs"), logins.alias("passwords"), others.alias("others"))
