@@ -210,3 +210,33 @@ def test_items_name_the_record_that_showed_them_first(spark, tmp_path):
         record("x101", deck(), fetched="2025-01-01T00:00:00Z"), record(202, other)])
     first = {r["item_id"]: (r["first_seen_entity_id"], r["first_seen_source_url"]) for r in tables["items"].collect()}
     assert first["card-1"] == (None, "u/x101") and first["late"] == (202, "u/202")
+
+
+def test_records_are_not_shuffled_to_find_the_latest(spark, tmp_path, monkeypatch):
+    """Latest and known records are told by their keys: no step that groups or joins sees a payload."""
+    seen = []
+    for name in ("latest_records", "skip_existing"):
+        whole = getattr(curate, name)
+        monkeypatch.setattr(curate, name, lambda df, *a, f=whole: seen.append(df.columns) or f(df, *a))
+    history = spark.createDataFrame([(2, "source:2:2025-02-01T00:00:00Z", "f")], "entity_id long, snapshot_id string, fingerprint string")
+    old = record(1, deck(private=True, updatedAt="2024-01-01T00:00:00Z"))
+    out = run(spark, tmp_path / "n.jsonl", [old, record(1, deck()), record(2, deck()), {**record(3, deck()), "deck_id": None}], history)
+    assert rows(out["accepted"], "entity_id") == [(1,)]
+    assert rows(out["rejected"], "entity_id", "rejection_reasons") == [(None, ["duplicate_card_list"])]
+    assert len(seen) == 3 and not any({"payload", "response"} & set(columns) for columns in seen)
+
+
+def test_picked_rows_are_the_chosen_ones(spark):
+    many = spark.range(0, 70_000, 1, 2).select(F.monotonically_increasing_id().alias("row"), F.col("id").alias("v"))
+    chosen = many.filter("v % 7 = 0 or v in (34999, 35000, 69999)")
+    assert rows(curate.pick_rows(many, chosen, "row")) == rows(chosen)
+    assert curate.pick_rows(many, chosen.limit(0), "row").count() == 0
+
+
+def test_trace_of_lines_is_the_trace_by_reason(spark):
+    data = [(1, 2, True, []), (1, 3, False, []), (1, 1, False, ["deleted", "companion"]), (1, None, False, ["companion"]),
+            (2, 5, False, ["excluded_category"]), (3, None, False, [])]
+    lines = spark.createDataFrame(data, "entity_id long, quantity long, is_lead boolean, exclusion array<string>")
+    by_reason = curate.trace_maps(curate.extraction_trace(lines))
+    assert {r["entity_id"]: r.asDict() for r in curate.trace_of_lines(lines).collect()} == {
+        r["entity_id"]: r.asDict() for r in by_reason.collect()}
