@@ -76,3 +76,18 @@ def test_bag_is_one_row_per_basket(spark, basket):
 def test_cost_rules(spark):
     df = spark.createDataFrame([(-1.0,), (0.5,), (5.9,), (6.0,), (None,)], "c double")
     assert [r[0] for r in df.select(features.cost_bucket(features.cost_value(F.col("c")))).collect()] == [0, 0, 5, 6, 0]
+
+
+def test_item_tables_are_not_broadcast_and_only_wanted_tags_exploded(spark, basket):
+    """Whatever the size of the packed item file: measures and tags are a hundred times as large in memory."""
+    from basketwise.plans import tables as t
+
+    sf = "/root/testdata/sf0.001"
+    measures = features.item_measures(t.items(spark, sf), t.SPEC)
+    bag = features.bag_long(t.lines(spark, sf))
+    for joined in (features.attach_items(bag, measures), features.tag_features(bag, measures, wanted=["distinct_keyword_count"])):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    every, one = (features.tag_features(bag, measures, **k) for k in ({}, {"wanted": ["distinct_keyword_count"]}))
+    assert one.columns == ["entity_id", "distinct_keyword_count"]
+    assert rows(one) == rows(every.filter("distinct_keyword_count > 0"), *one.columns)
