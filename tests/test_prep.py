@@ -121,3 +121,18 @@ def test_vocabulary_of_ids_with_one_prefix(spark):
     got = [r["item_id"] for r in words.orderBy("idx").collect()]
     assert got == sorted(got) and len(got) == 50_000
     assert words.agg({"idx": "min"}).first()[0] == 0 and words.agg({"idx": "max"}).first()[0] == 49_999
+
+
+def test_float_vectors_travel_as_floats_and_give_the_same_neighbours(spark, monkeypatch):
+    from basketwise.operators import neighbours as nb
+
+    points = spark.range(60).select("id", F.expr("array(cast(sin(id) as float), cast(cos(id * 3) as float))").alias("vector"),
+                                    F.lit(1).alias("label"))
+    whole, kept = nb.materialize, {}
+    monkeypatch.setattr(nb, "materialize", lambda df, label: kept.update({label: df.schema}) or whole(df, label))
+    for p in (1, 2):
+        short = rows(nb.knn(points, points, 3, p))
+        assert all(kept[x]["vector"].dataType.simpleString() == "array<float>" for x in ("knn-base", "knn-queries"))
+        wide = points.withColumn("vector", F.col("vector").cast("array<double>"))
+        assert rows(nb.knn(wide, wide, 3, p)) == short
+        assert kept["knn-base"]["vector"].dataType.simpleString() == "array<double>"
