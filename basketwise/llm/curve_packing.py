@@ -39,6 +39,8 @@ TIE_BITS = 22  # dims * bits + TIE_BITS stays within the 53 bits that a double h
 class WordIds(dict):
     """Word (bytes) -> its ids (little-endian, 32 bits each), found on first use and remembered.
 
+    At ``remember`` words a new generation begins; the one before is kept beside it, so words in use stay known.
+
     Exact for tokenizers that drop white space and never join characters across it. Where the tokenizer
     lower-cases and takes runs of letters as one unit, a word of plain letters with punctuation after it goes
     to the merge table directly, so that "Word", "word" and "word," are merged once.
@@ -50,7 +52,7 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.remember, self.marks = remember, {}
+        self.remember, self.marks, self.older = remember, {}, {}
         shape = str(self.tokenizer.normalizer) + str(self.tokenizer.pre_tokenizer)
         self.plain = all(x in shape for x in ("Lowercase()", r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "ByteLevel("))
         # the byte-level alphabet: visible bytes stand for themselves, the rest follow from 256 on
@@ -59,6 +61,10 @@ class WordIds(dict):
         self.alphabet = {**{b: chr(b) for b in seen}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
 
     def __missing__(self, word: bytes) -> bytes:
+        known = self.older.get(word)
+        if known is not None:
+            self[word] = known
+            return known
         text = word.decode()
         found = self.LETTERS.fullmatch(text) if self.plain else None
         if found is None:
@@ -82,6 +88,7 @@ class WordIds(dict):
 
     def encode(self, text: str | None) -> np.ndarray:
         if len(self) > self.remember:
+            self.older = dict(self)
             self.clear()
             self.marks.clear()
         return np.frombuffer(b"".join(map(self.__getitem__, (text or "").encode().split())), dtype="<u4")
