@@ -47,11 +47,13 @@ class WordIds(dict):
     """
 
     LETTERS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-&(-/:-@\\[-`{-~]*)")
+    MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # the marks of LETTERS; an apostrophe may begin a unit of its own
 
     def __init__(self, path: str, remember: int = 200_000) -> None:
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
         self.remember, self.marks, self.older = remember, {}, {}
         shape = str(self.tokenizer.normalizer) + str(self.tokenizer.pre_tokenizer)
         self.plain = all(x in shape for x in ("Lowercase()", r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "ByteLevel("))
@@ -61,31 +63,35 @@ class WordIds(dict):
         self.alphabet = {**{b: chr(b) for b in seen}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
 
     def __missing__(self, word: bytes) -> bytes:
-        known = self.older.get(word)
-        if known is not None:
-            self[word] = known
-            return known
-        text = word.decode()
-        found = self.LETTERS.fullmatch(text) if self.plain else None
-        if found is None:
-            own = self.tokenizer.encode(text, add_special_tokens=False).ids
-            ids = struct.pack(f"<{len(own)}I", *own)
-        else:
-            letters, marks = found[1].lower(), found[2]
-            if letters == text:  # one unit: straight to the merge table
-                spelled = text if text.isascii() else word.decode("latin-1").translate(self.alphabet)
-                own = [t.id for t in self.tokenizer.model.tokenize(spelled)]
-                ids = struct.pack(f"<{len(own)}I", *own)
-            else:
-                ids = self[letters.encode()]
-                if marks:
-                    if marks not in self.marks:
-                        own = self.tokenizer.encode(marks, add_special_tokens=False).ids
-                        self.marks[marks] = struct.pack(f"<{len(own)}I", *own)
-                    ids += self.marks[marks]
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.find(word)
         self[word] = ids
         return ids
 
+    def find(self, word: bytes) -> bytes:
+        core = word.rstrip(self.MARKS) if self.plain else b""
+        if core.isalpha():  # ASCII letters, as most words: told apart without decoding or matching
+            letters, marks = core.lower(), word[len(core):]
+        else:
+            text = word.decode()
+            found = self.LETTERS.fullmatch(text) if self.plain else None
+            if found is None:
+                own = self.tokenizer.encode(text, add_special_tokens=False).ids
+                return struct.pack(f"<{len(own)}I", *own)
+            letters, marks = found[1].lower().encode(), found[2].encode()
+        if letters == word:  # one unit: straight to the merge table
+            spelled = word.decode() if word.isascii() else word.decode("latin-1").translate(self.alphabet)
+            own = [t.id for t in self.merge(spelled)]
+            return struct.pack(f"<{len(own)}I", *own)
+        ids = self[letters]
+        if marks:
+            if marks not in self.marks:
+                own = self.tokenizer.encode(marks.decode(), add_special_tokens=False).ids
+                self.marks[marks] = struct.pack(f"<{len(own)}I", *own)
+            ids += self.marks[marks]
+        return ids
+
     def encode(self, text: str | None) -> np.ndarray:
         if len(self) > self.remember:
             self.older = dict(self)

@@ -88,3 +88,22 @@ def test_words_in_use_stay_known():
     words.tokenizer = SimpleNamespace(encode=lambda text, add_special_tokens: asked.append(text) or SimpleNamespace(ids=[len(asked)]))
     first = [words.encode(t).tolist() for t in ("a b c", "a d", "a")]
     assert first == [[1, 2, 3], [1, 4], [1]] and asked == ["a", "b", "c", "d"]
+
+
+def test_plain_words_need_no_matching(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from basketwise.llm import curve_packing
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    marks = curve_packing.WordIds.MARKS.decode()
+    plain = ["word", "Word", "WORD,", "word...", "a", "I", *[f"Mark{m}{m}" for m in marks], f"all{marks}"]
+    other = ["it's", "don't.", "end'", "Stra\u00dfe,", "\u00c9t\u00e9!", "e\u0301", "x1", "(in)", "a-b", "7", "a<|endoftext|>", "\u0130st."]
+    words = curve_packing.WordIds(path)
+    for text in other:
+        assert words.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(curve_packing.WordIds, "LETTERS", None)  # any use of the pattern fails from here on
+    for text in plain:
+        assert words.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
