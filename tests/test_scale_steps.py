@@ -107,3 +107,45 @@ def test_plain_words_need_no_matching(monkeypatch):
     monkeypatch.setattr(curve_packing.WordIds, "LETTERS", None)  # any use of the pattern fails from here on
     for text in plain:
         assert words.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_model_rows_combine_only_lines_of_the_base(spark, monkeypatch, tmp_path):
+    from basketwise.operators import features, folds
+    from basketwise.plans import q_features, q_models
+    from basketwise.plans import tables as t
+
+    sf = str(tmp_path)
+    orders = [(k, k % 7, float(50_000 + 40_000 * (k % 9)), f"{1 + k % 5}-X") for k in range(60)]
+    orders += [(12, 1, 150_000.0, "1-X"), (12, 2, 150_000.0, "2-X"), (None, 3, 150_000.0, "2-X"), (71, 3, 250_000.0, "3-X")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string").select(
+        "*", F.lit("O").alias("o_orderstatus"), F.lit("2020-01-01").cast("timestamp").alias("o_orderdate")).write.parquet(f"{sf}/orders.parquet")
+    lines = [(k if k < 60 else None, (k * n) % 25, n % 4 + 1, float(n + 1), 10.5 * n + k, 0.01 * (n % 11), "ANR"[n % 3])
+             for k in range(61) for n in range(k % 6)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                                 "l_discount double, l_returnflag string").write.parquet(f"{sf}/lineitem.parquet")
+    parts = [(k, f"old blue {k % 3}", f"B{k % 4}", ("ECONOMY", "LARGE", "PROMO")[k % 3], k % 20, 90.0 + k) for k in range(20)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double") \
+        .write.parquet(f"{sf}/part.parquet")
+
+    seen, split = [], []
+    combine = features.bag_long
+    monkeypatch.setattr(features, "bag_long", lambda df, *a: seen.append(df) or combine(df, *a))
+    got = q_models.modelling_data(spark, sf)
+    base = {r[0] for r in t.modelling_base(spark, sf).select("entity_id").collect()}
+    assert len(seen) == 2 and all({r[0] for r in df.select("entity_id").collect()} <= base - {None} for df in seen)
+    whole = q_features.base_features(spark, sf, q_models.GROUPS).select(*[c for c in got.columns if c != "counts"])
+    maps = features.bag_map(combine(t.lines(spark, sf))).select("entity_id", "counts")
+    expected = whole.join(maps, "entity_id", "left").withColumn("bag", F.sort_array(F.map_entries("counts"))).drop("counts")
+    plain = lambda df: sorted(([str(v) for v in r[:-1]], [(str(i), q) for i, q in sorted((int(i), q) for i, q in r[-1] or [])])
+                              for r in df.collect())
+    assert got.count() > 15 and plain(got.withColumn("bag", F.map_entries("counts")).drop("counts")) == plain(expected)
+
+    def dealt(df, *a, **k):
+        split.extend(df.columns)
+        raise StopIteration
+
+    monkeypatch.setattr(q_models, "modelling_data", lambda *a: got)
+    monkeypatch.setattr(folds, "holdout", dealt)
+    with pytest.raises(StopIteration):
+        q_models.permutation_importance(spark, sf)
+    assert split == ["entity_id", *q_models.COLUMNS, "y1"]  # trees take no bags
