@@ -1,8 +1,9 @@
 """Merged count-min sketches and id filters of fixed size.
 
 Every input partition makes its own sketch; sketches are merged by block of cells on the executors; the
-driver only receives bits, ``rows * 2**bits / 8`` bytes whatever the input. Counts stop at two, which is all that
-"occurs" and "occurs again" need. Collisions only ever add counts, so a clear bit is certain.
+driver only receives the wanted cells of ``rows * 2**bits``, in a few pieces, whatever the input and its partitions.
+Counts stop at two, which is all that "occurs" and "occurs again" need. Collisions only ever add counts, so a clear bit
+is certain.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ class SketchSpec:
 
 
 SCHEMA = "sketch_row int, block int, part int, once binary, twice binary"
+PIECES = 8  # in which the driver reads a sketch, each in a job of its own
 
 
 def _pack(cells: np.ndarray) -> bytes:
@@ -113,12 +115,14 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]
         most = most // spec.merge_fan_in
     bits = np.zeros((spec.rows, (1 << spec.bits) // 8), dtype=np.uint8)
     width = (1 << spec.block_bits) // 8
+    wanted = ["twice", "once"][:3 - at_least]
     merged = parts.groupBy("sketch_row", "block").applyInPandas(merge, SCHEMA) if most else parts
-    for r, block, _, once, twice in merged.toLocalIterator():  # one block of bounded size at a time
+    # stored first: an iterator over the merge itself is a job for each shuffle partition, which merge one after the other
+    stored = materialize(merged.select("sketch_row", "block", *wanted), "sketch").coalesce(PIECES)
+    for r, block, *cells in stored.toLocalIterator():  # one piece of bounded size at a time
         own = np.zeros(1 << spec.block_bits, dtype=bool)
-        own[_unpack(bytes(twice))] = True
-        if at_least == 1:
-            own[_unpack(bytes(once))] = True
+        for blob in cells:
+            own[_unpack(bytes(blob))] = True
         bits[r, block * width:(block + 1) * width] = np.packbits(own, bitorder="little")
     return bits
 
