@@ -149,3 +149,32 @@ def test_model_rows_combine_only_lines_of_the_base(spark, monkeypatch, tmp_path)
     with pytest.raises(StopIteration):
         q_models.permutation_importance(spark, sf)
     assert split == ["entity_id", *q_models.COLUMNS, "y1"]  # trees take no bags
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_a_query_travels_once_to_a_group_of_cells(spark, monkeypatch, p):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.standard_normal((900, 20)), 1)
+    x[50:70] = x[50]
+    base = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "id long, vector array<float>, label long")
+    searched = []
+    plain = neighbours._search
+    monkeypatch.setattr(neighbours, "_search", lambda b, q, *a: searched.append((b, q)) or plain(b, q, *a))
+    got = {}
+    for r in neighbours.knn(base, base.filter("id % 9 = 0").select("id", "vector"), 4, p, pivots=30, block=60).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"]))
+    x = x.astype(np.float32).astype(np.float64)
+    assert len(got) == 100
+    for q, ranked in got.items():
+        d = np.abs(x - x[q])
+        d = np.sqrt((d * d).sum(axis=1)) if p == 2 else d.sum(axis=1)
+        assert [i for _, i in sorted(ranked)] == [i for _, i in sorted((float(d[i]), i) for i in range(len(x)) if i != q)[:4]]
+    # without structure nearly all cells are visited, but a query is sent to groups only: 60 * 256 // 20 points or one group
+    assert searched[1][1].count() <= 100 * 2 and searched[1][1].selectExpr("sum(size(parts)) n").first()["n"] > 1000
+    assert {c for c, in searched[1][1].select("limit").collect()} - {float("inf")}
+
+
+def test_cells_are_grouped_by_their_place():
+    centres = np.array([[0.0, 9.0], [0.1, 1.0], [0.2, 5.0], [0.0, 3.0]])
+    assert neighbours.cell_groups(centres, {0: 10, 1: 4, 2: 50, 3: 6}, 12) == {1: 0, 3: 0, 2: 1, 0: 2}
+    assert neighbours.cell_groups(centres, {}, 12) == {}
